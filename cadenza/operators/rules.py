@@ -21,12 +21,15 @@ Rejection reasons, in the order the source's triggers fire (they fire by name):
 from __future__ import annotations
 
 import datetime as _dt
+import logging
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import plus_months, to_date
-from cadenza.operators.scan import earlier_count
+from cadenza.operators.scan import earlier_count, range_buckets
+
+log = logging.getLogger(__name__)
 
 # Rule defaults and configuration keys of the source.
 DEFAULT_MAX_MONTHS = 12
@@ -207,15 +210,18 @@ def current_price_flags(existing: DataFrame, batch: DataFrame, order: list,
 
 def _rental_flags(b: DataFrame, instrument: DataFrame, existing_active: DataFrame | None, as_of: _dt.date,
                   limit: int, max_months: int, order: list, scope: list[str],
-                  accepted_col: str | None = None) -> DataFrame:
+                  accepted_col: str | None = None, buckets: tuple[str, str] | None = None) -> DataFrame:
     """Per-row pass/fail of the three rental triggers, counting earlier rows in ``scope``.
 
     With ``accepted_col`` only rows flagged accepted count as earlier rows.
+    ``buckets`` names pinned range layouts (student, instrument) from ``range_buckets``.
     """
     acc = F.lit(True) if accepted_col is None else F.col(accepted_col)
+    bs, bi = buckets if buckets else (None, None)
     b = b.withColumn("_is_active", _active("lease_expiry_time", as_of))
-    b = earlier_count(b, scope + ["student_id"], order, flag=acc & F.col("_is_active"), out="_act_before")
-    b = earlier_count(b, scope + ["instrument_id"], order, flag=acc, out="_ins_before")
+    b = earlier_count(b, scope + ["student_id"], order, flag=acc & F.col("_is_active"), out="_act_before",
+                      bucket=bs)
+    b = earlier_count(b, scope + ["instrument_id"], order, flag=acc, out="_ins_before", bucket=bi)
     b = b.join(instrument.select("instrument_id", "available_stock"), "instrument_id", "left")
     if existing_active is not None:
         b = b.join(existing_active, "student_id", "left")
@@ -261,22 +267,53 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
     """Row mode with all three rental triggers.
 
     Acceptance of a row depends on accepted earlier rows of its student *and*
-    of its instrument, so no single window decides it. Start from "every row
-    that passes the duration rule is accepted" and recompute both counts over
-    the currently accepted rows until nothing changes. Row i depends only on
-    earlier rows, so the fixed point is unique and equals the sequential run;
-    each round fixes at least the earliest undecided row of every dependency
-    chain. The only datum pulled to the driver per round is the changed-row count.
+    of its instrument, so no single window decides it. Row i depends only on
+    earlier rows, so the system has exactly one solution, the sequential run.
+    We iterate to it: start from "every row that passes the duration rule is
+    accepted", then each round recounts per student (active accepted rows
+    before it) and, using that fresh result, per instrument (accepted rows
+    before it). A round that changes nothing is the fixed point; each round
+    settles at least the earliest unsettled row, and in practice many.
+
+    The two range layouts (by student, by instrument) are sampled and pinned
+    once; a round is one checkpointed pass, and the only datum pulled to the
+    driver per round is the changed-row count. Raises if ``max_rounds`` is hit.
     """
     day = to_date(as_of)
     ea = active_counts(existing, day) if existing is not None else None
-    cur = batch.withColumn("_acc", duration_ok("rental_start_time", "lease_expiry_time", max_months))
-    for _ in range(max_rounds):
-        flagged = _rental_flags(cur, instrument, ea, day, limit, max_months, order, [], accepted_col="_acc")
-        nxt = flagged.withColumn("_new", F.col("_reason").isNull())
-        changed = nxt.filter(F.col("_new") != F.col("_acc")).count()
-        cur = nxt.drop("_acc").withColumnRenamed("_new", "_acc")
+    stock = instrument.select("instrument_id", "available_stock")
+    cur = (batch.withColumn("_r3", duration_ok("rental_start_time", "lease_expiry_time", max_months))
+           .withColumn("_is_active", _active("lease_expiry_time", day))
+           .join(stock, "instrument_id", "left"))
+    if ea is not None:
+        cur = cur.join(ea, "student_id", "left")
+    else:
+        cur = cur.withColumn("_existing_active", F.lit(None).cast("long"))
+    cur = (cur.withColumn("_existing_active", F.coalesce("_existing_active", F.lit(0)))
+           .withColumn("_s_ok", F.lit(True)).withColumn("_i_ok", F.lit(True))
+           .withColumn("_acc", F.col("_r3")))
+    cur = range_buckets(cur, ["student_id"], order, "_b_student")
+    cur = range_buckets(cur, ["instrument_id"], order, "_b_instrument")
+    accept = F.col("_r3") & F.col("_s_ok") & F.col("_i_ok")
+    for rnd in range(max_rounds):
+        prev = F.col("_acc_prev")
+        r = cur.withColumn("_acc_prev", F.col("_acc"))
+        r = earlier_count(r, ["student_id"], order, flag=F.col("_acc") & F.col("_is_active"), out="_n",
+                          bucket="_b_student")
+        r = r.withColumn("_s_ok", (F.col("_existing_active") + F.col("_n")) < F.lit(limit)).drop("_n")
+        r = r.withColumn("_acc", accept)
+        r = earlier_count(r, ["instrument_id"], order, flag="_acc", out="_n", bucket="_b_instrument")
+        r = (r.withColumn("_i_ok", F.coalesce(F.col("_n") < F.col("available_stock"), F.lit(False))).drop("_n")
+             .withColumn("_acc", accept)
+             .withColumn("_changed", F.col("_acc") != prev).drop("_acc_prev")
+             .checkpoint(eager=True))
+        changed = r.filter("_changed").count()
+        log.info("row-mode admission: round %d changed %d rows", rnd + 1, changed)
+        cur = r.drop("_changed")
         if changed == 0:
-            return (cur.withColumnRenamed("_acc", "accepted").withColumnRenamed("_reason", "reason"))
-        cur = cur.drop("_reason")
+            reason = (F.when(~F.col("_s_ok"), F.lit(R_ACTIVE)).when(~F.col("_i_ok"), F.lit(R_STOCK))
+                      .when(~F.col("_r3"), F.lit(R_DURATION)))
+            return (cur.withColumn("reason", reason).withColumnRenamed("_acc", "accepted")
+                    .drop("_r3", "_is_active", "_s_ok", "_i_ok", "_existing_active", "available_stock",
+                          "_b_student", "_b_instrument"))
     raise NotConverged(f"row-mode admission did not settle in {max_rounds} rounds")

@@ -15,10 +15,11 @@ task. Here instead:
 3. The result is checkpointed to the session's checkpoint folder, which pins
    the partition assignment (and cuts lineage, so a lost executor re-reads the
    checkpoint instead of re-sampling the range bounds).
-4. Only keys that run across a partition boundary need a correction. Such a
-   (partition, key) pair is always the first or last key of its partition, so
-   the correction table has at most two rows per partition: a proven bound,
-   which is what makes broadcasting it safe.
+4. Only keys that run across a partition boundary need a correction, and only
+   in the first run of a partition. The Arrow pass also reports each range's
+   first key and its last key with that run's count; a window per key over
+   those (at most two rows per range: a proven bound) gives the corrections,
+   which are then broadcast.
 """
 
 from __future__ import annotations
@@ -37,12 +38,8 @@ from cadenza.session import ensure_checkpoint_dir
 PID = "_scan_pid"
 LOC = "_scan_loc"
 FLAG = "_scan_flag"
-
-
-def _sort_col(c) -> Column:
-    if isinstance(c, Column):
-        return c
-    return F.col(c).asc_nulls_first()
+KIND = "_scan_kind"
+TOT = "_scan_tot"
 
 
 def _run_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -61,18 +58,43 @@ def _run_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return start
 
 
+def _summary_batch(schema: pa.Schema, run_keys: list[str], items) -> pa.RecordBatch:
+    """Rows carrying only the run key, a kind (1 first run, 2 last run of a range) and the run count."""
+    n = len(items)
+    cols = []
+    for field in schema:
+        if field.name in run_keys:
+            cols.append(pa.concat_arrays([sl.column(field.name) for sl, _k, _t in items]))
+        elif field.name == KIND:
+            cols.append(pa.array([k for _s, k, _t in items], pa.int32()))
+        elif field.name == TOT:
+            cols.append(pa.array([t for _s, _k, t in items], pa.int64()))
+        else:
+            cols.append(pa.nulls(n, field.type))
+    return pa.RecordBatch.from_arrays(cols, schema=schema)
+
+
 def _local_scan(keys: list[str]):
+    """Per partition: exclusive count within each (range, key) run, carried across Arrow batches.
+
+    Besides the data rows (kind 0) it emits, per range, one row with the first
+    key (kind 1) and one with the last key and that run's inclusive count
+    (kind 2), so no aggregation over the data is needed to find the boundaries.
+    """
+    run_keys = [PID] + keys
+
     def scan(batches):
         prev_key = None
         carry = 0
+        last_row = None
+        out_schema = None
         for b in batches:
             n = b.num_rows
             if n == 0:
-                yield b.append_column(LOC, pa.array([], pa.int64()))
                 continue
             flags = b.column(FLAG).to_numpy(zero_copy_only=False).astype(np.int64)
-            start = _run_starts(b, keys)
-            first_key = tuple(b.column(k)[0].as_py() for k in keys)
+            start = _run_starts(b, run_keys)
+            first_key = tuple(b.column(k)[0].as_py() for k in run_keys)
             start[0] = prev_key is None or first_key != prev_key
             excl = np.cumsum(flags) - flags
             idx = np.arange(n)
@@ -80,23 +102,57 @@ def _local_scan(keys: list[str]):
             loc = excl - excl[start_pos]
             if not start[0]:
                 loc[~np.logical_or.accumulate(start)] += carry
+            data = (b.append_column(LOC, pa.array(loc, pa.int64()))
+                    .append_column(KIND, pa.array(np.zeros(n, np.int32), pa.int32()))
+                    .append_column(TOT, pa.nulls(n, pa.int64())))
+            out_schema = data.schema
+            # range boundaries inside this batch (or at its first row)
+            pids = b.column(PID).to_numpy(zero_copy_only=False)
+            new_range = np.zeros(n, dtype=bool)
+            new_range[1:] = pids[1:] != pids[:-1]
+            new_range[0] = prev_key is None or first_key[0] != prev_key[0]
+            items = []
+            for p in np.flatnonzero(new_range):
+                if p > 0:
+                    items.append((data.slice(p - 1, 1), 2, int(loc[p - 1] + flags[p - 1])))
+                elif last_row is not None:
+                    items.append((last_row, 2, carry))
+                items.append((data.slice(p, 1), 1, 0))
+            yield data
+            if items:
+                yield _summary_batch(out_schema, run_keys, items)
             carry = int(loc[-1] + flags[-1])
-            prev_key = tuple(b.column(k)[n - 1].as_py() for k in keys)
-            yield b.append_column(LOC, pa.array(loc, pa.int64()))
+            prev_key = tuple(b.column(k)[n - 1].as_py() for k in run_keys)
+            last_row = data.slice(n - 1, 1)
+        if last_row is not None:
+            yield _summary_batch(out_schema, run_keys, [(last_row, 2, carry)])
     return scan
 
 
+def range_buckets(df: DataFrame, keys, order, name: str) -> DataFrame:
+    """Pin a range layout: ``name`` = index of the sampled range of (keys, order) holding the row.
+
+    Checkpointed, so the bucket of every row is fixed from here on. Repeated
+    ``earlier_count(..., bucket=name)`` calls over the same rows (with changing
+    flags) then need no new sampling and no checkpoint of their own.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    sort_cols = [F.col(c).asc_nulls_first() for c in list(keys) + list(order)]
+    return df.repartitionByRange(*sort_cols).withColumn(name, F.spark_partition_id()).checkpoint(eager=True)
+
+
 def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
-                  out: str = "earlier", inclusive: bool = False) -> DataFrame:
+                  out: str = "earlier", inclusive: bool = False, bucket: str | None = None) -> DataFrame:
     """Add ``out``: count of rows with the same ``keys`` before this row in ``order`` with ``flag`` set.
 
-    ``keys`` may be empty (one global sequence). ``order`` should be a total order
-    (ties are broken arbitrarily). ``flag`` defaults to every row; NULL counts as
-    false. With ``inclusive`` the row itself is counted too.
+    ``keys`` may be empty (one global sequence). ``order`` is a list of column
+    names, ascending, that makes a total order within a key. ``flag`` defaults to
+    every row; NULL counts as false. With ``inclusive`` the row itself counts too.
+    ``bucket`` names a column from ``range_buckets`` over the same keys and order.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    keys = list(keys)
+    keys, order = list(keys), list(order)
     added = []
     if not keys:
         df = df.withColumn("_scan_key", F.lit(0))
@@ -104,33 +160,37 @@ def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
     f = F.lit(1) if flag is None else F.coalesce((F.col(flag) if isinstance(flag, str) else flag).cast("int"),
                                                  F.lit(0))
     d = df.withColumn(FLAG, f.cast("long"))
-    sort_cols = [F.col(k).asc_nulls_first() for k in keys] + [_sort_col(c) for c in order]
-    ranged = (d.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
-              .withColumn(PID, F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField(LOC, T.LongType(), False)])
-    pinned = ranged.mapInArrow(_local_scan(keys), schema).checkpoint(eager=True)
-
-    # first and last key of every partition: the only (partition, key) pairs a run can cross
-    kstruct = F.struct(*[F.col(k) for k in keys])
-    bounds = pinned.groupBy(PID).agg(F.min(kstruct).alias("lo"), F.max(kstruct).alias("hi"))
-    edge_pairs = (bounds.select(PID, F.col("lo").alias("k"))
-                  .unionByName(bounds.select(PID, F.col("hi").alias("k")))
-                  .select(F.col(PID).alias("_e_pid"), *[F.col(f"k.{k}").alias(f"_e_{k}") for k in keys])
-                  .distinct())
-    on_edge = reduce(lambda a, b: a & b,
-                     [F.col(PID) == F.col("_e_pid")] + [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys])
-    per_part = (pinned.join(F.broadcast(edge_pairs), on_edge, "left_semi")
-                .groupBy(PID, *keys).agg(F.sum(FLAG).alias("_tot")))
-    w = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (per_part.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0)))
-               .filter(F.col("_off") > 0)
+    if bucket is None:
+        sort_cols = [F.col(c).asc_nulls_first() for c in keys + order]
+        ranged = (d.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
+                  .withColumn(PID, F.spark_partition_id()))
+    else:
+        # buckets are pinned: hash-place them, order rows inside; no sampling, no checkpoint needed
+        sort_cols = [F.col(c).asc_nulls_first() for c in [bucket] + keys + order]
+        ranged = d.repartition(F.col(bucket)).sortWithinPartitions(*sort_cols).withColumn(PID, F.col(bucket))
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in ranged.schema.fields]
+                          + [T.StructField(LOC, T.LongType(), True), T.StructField(KIND, T.IntegerType(), True),
+                             T.StructField(TOT, T.LongType(), True)])
+    scanned = ranged.mapInArrow(_local_scan(keys), schema)
+    if bucket is None:
+        scanned = scanned.checkpoint(eager=True)
+
+    # Each range reported its first key (kind 1) and its last key with that run's count
+    # (kind 2). Ranges are sorted, so every earlier range holding key k holds it as its
+    # last run: the offset of range q's first run is the sum of those last-run counts.
+    # At most two rows per range (a proven bound), windowed per key.
+    marks = scanned.filter(F.col(KIND) > 0).select(PID, *keys, (F.col(KIND) == 2).cast("int").alias("_is_last"),
+                                                   TOT)
+    w = Window.partitionBy(*keys).orderBy(PID, "_is_last").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (marks.withColumn("_off", F.coalesce(F.sum(TOT).over(w), F.lit(0)))
+               .filter((F.col("_is_last") == 0) & (F.col("_off") > 0))
                .select(F.col(PID).alias("_o_pid"), *[F.col(k).alias(f"_o_{k}") for k in keys], "_off"))
+    pinned = scanned.filter(F.col(KIND) == 0)
     cond = reduce(lambda a, b: a & b,
                   [F.col(PID) == F.col("_o_pid")] + [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys])
     total = F.col(LOC) + F.coalesce(F.col("_off"), F.lit(0))
     if inclusive:
         total = total + F.col(FLAG)
-    res = (pinned.join(F.broadcast(offsets), cond, "left")
-           .withColumn(out, total)
-           .drop(PID, LOC, FLAG, "_o_pid", "_off", *[f"_o_{k}" for k in keys], *added))
-    return res
+    return (pinned.join(F.broadcast(offsets), cond, "left")
+            .withColumn(out, total)
+            .drop(PID, LOC, FLAG, KIND, TOT, "_o_pid", "_off", *[f"_o_{k}" for k in keys], *added))
