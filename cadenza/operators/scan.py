@@ -1,138 +1,45 @@
 """Keyed prefix count that stays balanced when one key holds a large share of rows.
 
 ``earlier_count(df, keys, order, flag)`` adds, to every row, the number of rows
-of the same key that come before it in ``order`` and have ``flag`` set. It is
-what a ``count(...) OVER (PARTITION BY keys ORDER BY order ROWS BETWEEN
-UNBOUNDED PRECEDING AND 1 PRECEDING)`` window computes, but a window puts every
-key in one task, so a key holding a third of the data would run in a single
-task. Here instead:
-
-1. ``repartitionByRange(keys, order)``: Spark samples the sort keys, so a hot
-   key is split across many partitions by its order columns; rows are then
-   sorted within partitions.
-2. One Arrow pass per partition (``mapInArrow``) counts within each key run of
-   the partition, carrying the run total across Arrow batches.
-3. The result is checkpointed to the session's checkpoint folder, which pins
-   the partition assignment (and cuts lineage, so a lost executor re-reads the
-   checkpoint instead of re-sampling the range bounds).
-4. Only keys that run across a partition boundary need a correction, and only
-   in the first run of a partition. The Arrow pass also reports each range's
-   first key and its last key with that run's count; a window per key over
-   those (at most two rows per range: a proven bound) gives the corrections,
-   which are then broadcast.
+of the same key that come before it in ``order`` and have ``flag`` set: what
+``count(...) OVER (PARTITION BY keys ORDER BY order ROWS BETWEEN UNBOUNDED
+PRECEDING AND 1 PRECEDING)`` computes. That window alone would put every key in
+one task, so a key holding a third of the data would run in a single task.
+Here instead:
+
+1. ``range_buckets``: ``repartitionByRange(keys, order)`` samples the sort
+   keys, so a hot key is split across many ranges by its order columns. The
+   range index is stored as a column and checkpointed, which pins it: a lost
+   executor re-reads the checkpoint instead of re-sampling different bounds.
+2. A window partitioned by (bucket, keys) counts within each bucket. Each
+   window group is at most one range, whatever the key's size.
+3. Only a key that crosses a range boundary needs a correction, and only in
+   its first run of a range. Such a (bucket, key) is the first or last key of
+   its bucket, so the correction table has at most two rows per bucket (three
+   with NULL keys): a proven bound, which makes broadcasting it safe.
+
+Everything is built from DataFrame operators (window, hash aggregates with
+partial aggregation, broadcast joins); no Python runs inside tasks.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cadenza.session import ensure_checkpoint_dir
 
-PID = "_scan_pid"
+BUCKET = "_scan_bucket"
 LOC = "_scan_loc"
 FLAG = "_scan_flag"
-KIND = "_scan_kind"
-TOT = "_scan_tot"
-
-
-def _run_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
-    """start[i] is True where row i's key differs from row i-1's (nulls equal each other)."""
-    n = batch.num_rows
-    start = np.zeros(n, dtype=bool)
-    if n < 2:
-        return start
-    for k in keys:
-        a = batch.column(k)
-        head, tail = a.slice(0, n - 1), a.slice(1)
-        ne = pc.fill_null(pc.not_equal(tail, head), True).to_numpy(zero_copy_only=False)
-        valid = pc.is_valid(a).to_numpy(zero_copy_only=False)
-        both_null = ~valid[1:] & ~valid[:-1]
-        start[1:] |= ne & ~both_null
-    return start
-
-
-def _summary_batch(schema: pa.Schema, run_keys: list[str], items) -> pa.RecordBatch:
-    """Rows carrying only the run key, a kind (1 first run, 2 last run of a range) and the run count."""
-    n = len(items)
-    cols = []
-    for field in schema:
-        if field.name in run_keys:
-            cols.append(pa.concat_arrays([sl.column(field.name) for sl, _k, _t in items]))
-        elif field.name == KIND:
-            cols.append(pa.array([k for _s, k, _t in items], pa.int32()))
-        elif field.name == TOT:
-            cols.append(pa.array([t for _s, _k, t in items], pa.int64()))
-        else:
-            cols.append(pa.nulls(n, field.type))
-    return pa.RecordBatch.from_arrays(cols, schema=schema)
-
-
-def _local_scan(keys: list[str]):
-    """Per partition: exclusive count within each (range, key) run, carried across Arrow batches.
-
-    Besides the data rows (kind 0) it emits, per range, one row with the first
-    key (kind 1) and one with the last key and that run's inclusive count
-    (kind 2), so no aggregation over the data is needed to find the boundaries.
-    """
-    run_keys = [PID] + keys
-
-    def scan(batches):
-        prev_key = None
-        carry = 0
-        last_row = None
-        out_schema = None
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            flags = b.column(FLAG).to_numpy(zero_copy_only=False).astype(np.int64)
-            start = _run_starts(b, run_keys)
-            first_key = tuple(b.column(k)[0].as_py() for k in run_keys)
-            start[0] = prev_key is None or first_key != prev_key
-            excl = np.cumsum(flags) - flags
-            idx = np.arange(n)
-            start_pos = np.maximum.accumulate(np.where(start, idx, 0))
-            loc = excl - excl[start_pos]
-            if not start[0]:
-                loc[~np.logical_or.accumulate(start)] += carry
-            data = (b.append_column(LOC, pa.array(loc, pa.int64()))
-                    .append_column(KIND, pa.array(np.zeros(n, np.int32), pa.int32()))
-                    .append_column(TOT, pa.nulls(n, pa.int64())))
-            out_schema = data.schema
-            # range boundaries inside this batch (or at its first row)
-            pids = b.column(PID).to_numpy(zero_copy_only=False)
-            new_range = np.zeros(n, dtype=bool)
-            new_range[1:] = pids[1:] != pids[:-1]
-            new_range[0] = prev_key is None or first_key[0] != prev_key[0]
-            items = []
-            for p in np.flatnonzero(new_range):
-                if p > 0:
-                    items.append((data.slice(p - 1, 1), 2, int(loc[p - 1] + flags[p - 1])))
-                elif last_row is not None:
-                    items.append((last_row, 2, carry))
-                items.append((data.slice(p, 1), 1, 0))
-            yield data
-            if items:
-                yield _summary_batch(out_schema, run_keys, items)
-            carry = int(loc[-1] + flags[-1])
-            prev_key = tuple(b.column(k)[n - 1].as_py() for k in run_keys)
-            last_row = data.slice(n - 1, 1)
-        if last_row is not None:
-            yield _summary_batch(out_schema, run_keys, [(last_row, 2, carry)])
-    return scan
-
-
-def range_buckets(df: DataFrame, keys, order, name: str) -> DataFrame:
+
+
+def range_buckets(df: DataFrame, keys, order, name: str = BUCKET) -> DataFrame:
     """Pin a range layout: ``name`` = index of the sampled range of (keys, order) holding the row.
 
-    Checkpointed, so the bucket of every row is fixed from here on. Repeated
+    Checkpointed, so every row's bucket is fixed from here on. Repeated
     ``earlier_count(..., bucket=name)`` calls over the same rows (with changing
     flags) then need no new sampling and no checkpoint of their own.
     """
@@ -141,6 +48,10 @@ def range_buckets(df: DataFrame, keys, order, name: str) -> DataFrame:
     return df.repartitionByRange(*sort_cols).withColumn(name, F.spark_partition_id()).checkpoint(eager=True)
 
 
+def _eq(keys: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
+
+
 def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
                   out: str = "earlier", inclusive: bool = False, bucket: str | None = None) -> DataFrame:
     """Add ``out``: count of rows with the same ``keys`` before this row in ``order`` with ``flag`` set.
@@ -148,49 +59,55 @@ def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
     ``keys`` may be empty (one global sequence). ``order`` is a list of column
     names, ascending, that makes a total order within a key. ``flag`` defaults to
     every row; NULL counts as false. With ``inclusive`` the row itself counts too.
-    ``bucket`` names a column from ``range_buckets`` over the same keys and order.
+    ``bucket`` names a column from ``range_buckets`` over the same keys and order;
+    without it the layout is sampled and pinned here.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     keys, order = list(keys), list(order)
     added = []
     if not keys:
         df = df.withColumn("_scan_key", F.lit(0))
         keys, added = ["_scan_key"], ["_scan_key"]
+    if bucket is None:
+        df = range_buckets(df, keys, order, BUCKET)
+        bucket = BUCKET
+        added.append(BUCKET)
     f = F.lit(1) if flag is None else F.coalesce((F.col(flag) if isinstance(flag, str) else flag).cast("int"),
                                                  F.lit(0))
     d = df.withColumn(FLAG, f.cast("long"))
-    if bucket is None:
-        sort_cols = [F.col(c).asc_nulls_first() for c in keys + order]
-        ranged = (d.repartitionByRange(*sort_cols).sortWithinPartitions(*sort_cols)
-                  .withColumn(PID, F.spark_partition_id()))
+
+    # 1. count inside each (bucket, key): a window group never exceeds one range
+    w = Window.partitionBy(bucket, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    main = d.withColumn(LOC, F.coalesce(F.sum(FLAG).over(w), F.lit(0)))
+
+    # 2. first and last key of every bucket (NULL keys sort first, so a bucket holding
+    #    a NULL key has it as its first run)
+    if len(keys) == 1:
+        k = keys[0]
+        bounds = d.groupBy(bucket).agg(F.min(k).alias("_lo"), F.max(k).alias("_hi"),
+                                       F.max(F.col(k).isNull().cast("int")).alias("_null"))
+        edges = (bounds.select(bucket, F.col("_lo").alias(f"_e_{k}"))
+                 .unionByName(bounds.select(bucket, F.col("_hi").alias(f"_e_{k}")))
+                 .unionByName(bounds.filter("_null = 1")
+                              .select(bucket, F.lit(None).cast(d.schema[k].dataType).alias(f"_e_{k}"))))
     else:
-        # buckets are pinned: hash-place them, order rows inside; no sampling, no checkpoint needed
-        sort_cols = [F.col(c).asc_nulls_first() for c in [bucket] + keys + order]
-        ranged = d.repartition(F.col(bucket)).sortWithinPartitions(*sort_cols).withColumn(PID, F.col(bucket))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in ranged.schema.fields]
-                          + [T.StructField(LOC, T.LongType(), True), T.StructField(KIND, T.IntegerType(), True),
-                             T.StructField(TOT, T.LongType(), True)])
-    scanned = ranged.mapInArrow(_local_scan(keys), schema)
-    if bucket is None:
-        scanned = scanned.checkpoint(eager=True)
-
-    # Each range reported its first key (kind 1) and its last key with that run's count
-    # (kind 2). Ranges are sorted, so every earlier range holding key k holds it as its
-    # last run: the offset of range q's first run is the sum of those last-run counts.
-    # At most two rows per range (a proven bound), windowed per key.
-    marks = scanned.filter(F.col(KIND) > 0).select(PID, *keys, (F.col(KIND) == 2).cast("int").alias("_is_last"),
-                                                   TOT)
-    w = Window.partitionBy(*keys).orderBy(PID, "_is_last").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (marks.withColumn("_off", F.coalesce(F.sum(TOT).over(w), F.lit(0)))
-               .filter((F.col("_is_last") == 0) & (F.col("_off") > 0))
-               .select(F.col(PID).alias("_o_pid"), *[F.col(k).alias(f"_o_{k}") for k in keys], "_off"))
-    pinned = scanned.filter(F.col(KIND) == 0)
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(PID) == F.col("_o_pid")] + [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys])
+        kst = F.struct(*[F.col(c) for c in keys])
+        bounds = d.groupBy(bucket).agg(F.min(kst).alias("_lo"), F.max(kst).alias("_hi"))
+        edges = (bounds.select(bucket, *[F.col(f"_lo.{c}").alias(f"_e_{c}") for c in keys])
+                 .unionByName(bounds.select(bucket, *[F.col(f"_hi.{c}").alias(f"_e_{c}") for c in keys])))
+    edges = edges.withColumnRenamed(bucket, "_e_b").distinct()
+
+    # 3. per-bucket totals of the edge keys, then the offset of each spanning key's first run
+    on_edge = (F.col(bucket) == F.col("_e_b")) & _eq(keys, "_e_")
+    tot = (d.join(F.broadcast(edges), on_edge, "left_semi")
+           .groupBy(bucket, *keys).agg(F.sum(FLAG).alias("_tot")))
+    w2 = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tot.withColumn("_off", F.coalesce(F.sum("_tot").over(w2), F.lit(0)))
+               .filter(F.col("_off") > 0)
+               .select(F.col(bucket).alias("_o_b"), *[F.col(c).alias(f"_o_{c}") for c in keys], "_off"))
+
     total = F.col(LOC) + F.coalesce(F.col("_off"), F.lit(0))
     if inclusive:
         total = total + F.col(FLAG)
-    return (pinned.join(F.broadcast(offsets), cond, "left")
+    return (main.join(F.broadcast(offsets), (F.col(bucket) == F.col("_o_b")) & _eq(keys, "_o_"), "left")
             .withColumn(out, total)
-            .drop(PID, LOC, FLAG, KIND, TOT, "_o_pid", "_off", *[f"_o_{k}" for k in keys], *added))
+            .drop(LOC, FLAG, "_o_b", "_off", *[f"_o_{c}" for c in keys], *added))

@@ -38,3 +38,13 @@ def test_global_sequence_and_empty(spark):
     exp = df.withColumn("x", F.row_number().over(W.orderBy("s")) - 1)
     assert got.join(exp, ["s"]).filter(F.col("e") != F.col("x")).count() == 0
     assert earlier_count(df.limit(0), ["k"], ["s"]).count() == 0
+
+
+def test_single_key_with_many_nulls(spark):
+    rnd = random.Random(5)
+    rows = [(None if rnd.random() < 0.5 else rnd.randrange(3), i, rnd.random() < 0.5) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, s int, f boolean").repartition(4)
+    got = earlier_count(df, ["k"], ["s"], flag="f", out="e")
+    w = W.partitionBy("k").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    exp = df.withColumn("x", F.coalesce(F.sum(F.col("f").cast("int")).over(w), F.lit(0)))
+    assert got.join(exp, ["s"]).filter(F.col("e") != F.col("x")).count() == 0
