@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.session import ensure_checkpoint_dir
 from cadenza.sources.schemas import ForeignKey
 
 
@@ -56,19 +57,33 @@ def _mark(child: DataFrame, deleted: dict[str, DataFrame], edges: list[ForeignKe
             .drop(*[f"_hit{n}" for n in range(len(edges))]))
 
 
+def _deleted_keys(marked: DataFrame, table: str, fks) -> DataFrame | None:
+    """Distinct deleted values of every column a child key points at, pinned by a checkpoint.
+
+    Each level's delete set is computed once, however many children and
+    grandchildren read it, and the cascade's lineage stays one level deep.
+    """
+    cols = sorted({c for fk in fks if fk.parent == table for c in fk.parent_cols})
+    if not cols:
+        return None
+    ensure_checkpoint_dir(marked.sparkSession)
+    return marked.filter("_del").select(*cols).distinct().checkpoint(eager=True)
+
+
 def cascade_marks(tables: dict[str, DataFrame], fks, root: str, where: Column) -> dict[str, DataFrame]:
     """{table: table with boolean ``_del``} for the root and every table a cascade reaches."""
     fks = [fk for fk in fks if fk.child in tables and fk.parent in tables]
     marks = {root: tables[root].withColumn("_del", F.coalesce(where, F.lit(False)))}
-    deleted = {root: marks[root].filter("_del")}
+    deleted = {root: _deleted_keys(marks[root], root, fks)}
     for t in _topological(tables, fks):
         if t == root:
             continue
-        edges = [fk for fk in fks if fk.child == t and fk.on_delete == "cascade" and fk.parent in deleted]
+        edges = [fk for fk in fks if fk.child == t and fk.on_delete == "cascade"
+                 and deleted.get(fk.parent) is not None]
         if not edges:
             continue
         marks[t] = _mark(tables[t], deleted, edges, "_del")
-        deleted[t] = marks[t].filter("_del")
+        deleted[t] = _deleted_keys(marks[t], t, fks)
     return marks
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import pg_concat, whole_days
+from cadenza.sources.sinks import assert_unique
 
 HISTORY_COLUMNS = ("lesson_id", "student_id", "lesson_type", "genre", "instrument", "lesson_price",
                    "student_name", "student_email")
@@ -57,12 +58,22 @@ def lesson_history(lesson: DataFrame, individual: DataFrame, group: DataFrame, e
             .select(*HISTORY_COLUMNS))
 
 
-def payment_denorm(payment: DataFrame, rental: DataFrame, instrument: DataFrame) -> DataFrame:
+def lesson_history_report(history: DataFrame) -> DataFrame:
+    """SELECT * FROM history_lesson ORDER BY student_id (lesson_id breaks ties for a stable order)."""
+    return history.orderBy("student_id", "lesson_id", "lesson_type")
+
+
+def payment_denorm(payment: DataFrame, rental: DataFrame, instrument: DataFrame,
+                   check_rental_key: bool = True) -> DataFrame:
     """Adds instrument_name and rental_duration (whole days) to each payment.
 
     Both correlated updates of the source read the same rental row, so one left
-    join on the rental key serves both; no match leaves both columns NULL.
+    join on the rental key serves both; no match leaves both columns NULL. A
+    scalar subquery returning two rows is an error in SQL, so the rental key is
+    checked first (one distributed aggregate) unless ``check_rental_key`` is off.
     """
+    if check_rental_key:
+        assert_unique(rental, ["rental_id"], "rental key of the correlated update")
     r = (rental.select("rental_id", "instrument_id", "rental_start_time", "lease_expiry_time")
          .join(instrument.select("instrument_id", "instrument_type"), "instrument_id", "left")
          .select("rental_id",

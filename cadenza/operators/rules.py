@@ -309,6 +309,9 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
              .checkpoint(eager=True))
         changed = r.filter("_changed").count()
         log.info("row-mode admission: round %d changed %d rows", rnd + 1, changed)
+        if rnd + 1 == 50:
+            log.warning("row-mode admission still changing after 50 rounds (%d rows): long dependency chains",
+                        changed)
         cur = r.drop("_changed")
         if changed == 0:
             reason = (F.when(~F.col("_s_ok"), F.lit(R_ACTIVE)).when(~F.col("_i_ok"), F.lit(R_STOCK))
@@ -317,3 +320,47 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
                     .drop("_r3", "_is_active", "_s_ok", "_i_ok", "_existing_active", "available_stock",
                           "_b_student", "_b_instrument"))
     raise NotConverged(f"row-mode admission did not settle in {max_rounds} rounds")
+
+
+def rental_update_check(existing: DataFrame, updates: DataFrame, as_of=None, limit: int = DEFAULT_MAX_ACTIVE,
+                        max_months: int = DEFAULT_MAX_MONTHS, exclude_self: bool = False) -> DataFrame:
+    """The two rental triggers that also fire on UPDATE (active-rental limit, then duration).
+
+    ``updates`` holds the new version of existing rows (``rental_id`` plus the
+    rental columns). The source counts the student's active rentals including
+    the row being updated, so a student at the limit cannot update any rental;
+    that is the default, and ``exclude_self=True`` leaves the row itself out.
+    Each update is checked against ``existing`` (updates are independent rows).
+    """
+    day = to_date(as_of)
+    act = existing.filter(_active("lease_expiry_time", day)).select("student_id", "rental_id")
+    counts = act.groupBy("student_id").agg(F.count(F.lit(1)).alias("_n"))
+    u = updates.join(counts, "student_id", "left")
+    if exclude_self:
+        self_active = act.select("rental_id", F.col("student_id").alias("_self_student"),
+                                 F.lit(1).alias("_self"))
+        u = (u.join(self_active, "rental_id", "left")
+             .withColumn("_n", F.col("_n") - F.when(F.col("_self_student") == F.col("student_id"), F.col("_self"))
+                         .otherwise(F.lit(0)))
+             .drop("_self", "_self_student"))
+    active_fail = F.coalesce(F.col("_n"), F.lit(0)) >= F.lit(limit)
+    duration_fail = ~duration_ok("rental_start_time", "lease_expiry_time", max_months)
+    reason = F.when(active_fail, F.lit(R_ACTIVE)).when(duration_fail, F.lit(R_DURATION))
+    return u.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("_n")
+
+
+def admit_rentals(batch: DataFrame, instrument: DataFrame, order: list, existing: DataFrame | None = None,
+                  as_of=None, limit: int = DEFAULT_MAX_ACTIVE, max_months: int = DEFAULT_MAX_MONTHS,
+                  mode: str = "row", statement: str | None = None) -> DataFrame:
+    """INSERT INTO instrument_rental with all rental triggers, in ``row`` or ``statement`` mode.
+
+    Row mode returns every row with accepted / reason. Statement mode returns
+    one row per ``statement`` value (the whole batch when None).
+    """
+    if mode == "row":
+        return rental_admission_row(batch, instrument, order, existing, as_of, limit, max_months)
+    if mode != "statement":
+        raise ValueError("mode is 'row' or 'statement'")
+    if statement is None:
+        batch, statement = batch.withColumn("_statement", F.lit(0)), "_statement"
+    return rental_admission_statement(batch, instrument, order, statement, existing, as_of, limit, max_months)
