@@ -24,9 +24,19 @@ def assert_unique(df: DataFrame, keys: list[str] | tuple[str, ...], what: str =
 
 def write_snapshot(df: DataFrame, path: str, keys: list[str] | tuple[str, ...] | None = None,
                    partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Check ``keys`` then write ``df`` as Parquet (append mode mirrors INSERT ... SELECT)."""
+    """Check ``keys`` then write ``df`` as Parquet (append mode mirrors INSERT ... SELECT).
+
+    In append mode the key check covers the rows already at ``path`` too, as a
+    table-wide primary key would.
+    """
     if keys:
-        assert_unique(df, keys)
+        check = df.select(*keys)
+        if mode == "append":
+            try:
+                check = check.unionByName(df.sparkSession.read.parquet(path).select(*keys))
+            except Exception:  # noqa: BLE001 - nothing written at path yet
+                pass
+        assert_unique(check, keys)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
