@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import plus_months, to_date
-from cadenza.operators.scan import earlier_count, range_buckets
+from cadenza.operators.scan import bucket_edges, earlier_count, range_buckets
 
 log = logging.getLogger(__name__)
 
@@ -294,15 +294,19 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
            .withColumn("_acc", F.col("_r3")))
     cur = range_buckets(cur, ["student_id"], order, "_b_student")
     cur = range_buckets(cur, ["instrument_id"], order, "_b_instrument")
+    # each layout's boundary keys are fixed: compute them once (at most three rows per range)
+    edges_s = bucket_edges(cur, ["student_id"], "_b_student").checkpoint(eager=True)
+    edges_i = bucket_edges(cur, ["instrument_id"], "_b_instrument").checkpoint(eager=True)
     accept = F.col("_r3") & F.col("_s_ok") & F.col("_i_ok")
     for rnd in range(max_rounds):
         prev = F.col("_acc_prev")
         r = cur.withColumn("_acc_prev", F.col("_acc"))
         r = earlier_count(r, ["student_id"], order, flag=F.col("_acc") & F.col("_is_active"), out="_n",
-                          bucket="_b_student")
+                          bucket="_b_student", edges=edges_s)
         r = r.withColumn("_s_ok", (F.col("_existing_active") + F.col("_n")) < F.lit(limit)).drop("_n")
-        r = r.withColumn("_acc", accept)
-        r = earlier_count(r, ["instrument_id"], order, flag="_acc", out="_n", bucket="_b_instrument")
+        r = r.withColumn("_acc", accept).checkpoint(eager=True)
+        r = earlier_count(r, ["instrument_id"], order, flag="_acc", out="_n", bucket="_b_instrument",
+                          edges=edges_i)
         r = (r.withColumn("_i_ok", F.coalesce(F.col("_n") < F.col("available_stock"), F.lit(False))).drop("_n")
              .withColumn("_acc", accept)
              .withColumn("_changed", F.col("_acc") != prev).drop("_acc_prev")

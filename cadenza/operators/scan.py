@@ -52,15 +52,39 @@ def _eq(keys: list[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
+def bucket_edges(df: DataFrame, keys, bucket: str) -> DataFrame:
+    """(bucket, key) pairs that can continue a run across a bucket boundary: each bucket's
+    first and last key, plus NULL when the bucket holds NULL keys (they sort first).
+    At most three rows per bucket; depends only on the layout, not on any flag."""
+    keys = list(keys)
+    d = df
+    if len(keys) == 1:
+        k = keys[0]
+        bounds = d.groupBy(bucket).agg(F.min(k).alias("_lo"), F.max(k).alias("_hi"),
+                                       F.max(F.col(k).isNull().cast("int")).alias("_null"))
+        edges = (bounds.select(bucket, F.col("_lo").alias(f"_e_{k}"))
+                 .unionByName(bounds.select(bucket, F.col("_hi").alias(f"_e_{k}")))
+                 .unionByName(bounds.filter("_null = 1")
+                              .select(bucket, F.lit(None).cast(d.schema[k].dataType).alias(f"_e_{k}"))))
+    else:
+        kst = F.struct(*[F.col(c) for c in keys])
+        bounds = d.groupBy(bucket).agg(F.min(kst).alias("_lo"), F.max(kst).alias("_hi"))
+        edges = (bounds.select(bucket, *[F.col(f"_lo.{c}").alias(f"_e_{c}") for c in keys])
+                 .unionByName(bounds.select(bucket, *[F.col(f"_hi.{c}").alias(f"_e_{c}") for c in keys])))
+    return edges.withColumnRenamed(bucket, "_e_b").distinct()
+
+
 def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
-                  out: str = "earlier", inclusive: bool = False, bucket: str | None = None) -> DataFrame:
+                  out: str = "earlier", inclusive: bool = False, bucket: str | None = None,
+                  edges: DataFrame | None = None) -> DataFrame:
     """Add ``out``: count of rows with the same ``keys`` before this row in ``order`` with ``flag`` set.
 
     ``keys`` may be empty (one global sequence). ``order`` is a list of column
     names, ascending, that makes a total order within a key. ``flag`` defaults to
     every row; NULL counts as false. With ``inclusive`` the row itself counts too.
     ``bucket`` names a column from ``range_buckets`` over the same keys and order;
-    without it the layout is sampled and pinned here.
+    without it the layout is sampled and pinned here. ``edges`` may pass in
+    ``bucket_edges`` of that layout when it is reused across calls.
     """
     keys, order = list(keys), list(order)
     added = []
@@ -79,22 +103,9 @@ def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
     w = Window.partitionBy(bucket, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     main = d.withColumn(LOC, F.coalesce(F.sum(FLAG).over(w), F.lit(0)))
 
-    # 2. first and last key of every bucket (NULL keys sort first, so a bucket holding
-    #    a NULL key has it as its first run)
-    if len(keys) == 1:
-        k = keys[0]
-        bounds = d.groupBy(bucket).agg(F.min(k).alias("_lo"), F.max(k).alias("_hi"),
-                                       F.max(F.col(k).isNull().cast("int")).alias("_null"))
-        edges = (bounds.select(bucket, F.col("_lo").alias(f"_e_{k}"))
-                 .unionByName(bounds.select(bucket, F.col("_hi").alias(f"_e_{k}")))
-                 .unionByName(bounds.filter("_null = 1")
-                              .select(bucket, F.lit(None).cast(d.schema[k].dataType).alias(f"_e_{k}"))))
-    else:
-        kst = F.struct(*[F.col(c) for c in keys])
-        bounds = d.groupBy(bucket).agg(F.min(kst).alias("_lo"), F.max(kst).alias("_hi"))
-        edges = (bounds.select(bucket, *[F.col(f"_lo.{c}").alias(f"_e_{c}") for c in keys])
-                 .unionByName(bounds.select(bucket, *[F.col(f"_hi.{c}").alias(f"_e_{c}") for c in keys])))
-    edges = edges.withColumnRenamed(bucket, "_e_b").distinct()
+    # 2. first and last key of every bucket: fixed by the layout, so reusable across calls
+    if edges is None:
+        edges = bucket_edges(d, keys, bucket)
 
     # 3. per-bucket totals of the edge keys, then the offset of each spanning key's first run
     on_edge = (F.col(bucket) == F.col("_e_b")) & _eq(keys, "_e_")

@@ -212,3 +212,9 @@ def test_assign_ids_dense(fx):
                                start_after=integrity.next_id_after(fx["person"], "person_id"))
     ids = sorted(r.id for r in got.collect())
     assert ids == list(range(37, 73))
+
+
+def test_history_report_sorted_by_student(fx):
+    rows = denorm.lesson_history_report(_history(fx)).collect()
+    keys = [(r.student_id, r.lesson_id) for r in rows]
+    assert keys == sorted(keys) and len(rows) == 31
