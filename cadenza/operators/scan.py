@@ -15,8 +15,8 @@ Here instead:
    window group is at most one range, whatever the key's size.
 3. Only a key that crosses a range boundary needs a correction, and only in
    its first run of a range. Such a (bucket, key) is the first or last key of
-   its bucket, so the correction table has at most two rows per bucket (three
-   with NULL keys): a proven bound, which makes broadcasting it safe.
+   its bucket, so the correction table has at most two rows per bucket: a
+   proven bound, which makes broadcasting it safe.
 
 Everything is built from DataFrame operators (window, hash aggregates with
 partial aggregation, broadcast joins); no Python runs inside tasks.
@@ -54,24 +54,34 @@ def _eq(keys: list[str], prefix: str) -> Column:
 
 def bucket_edges(df: DataFrame, keys, bucket: str) -> DataFrame:
     """(bucket, key) pairs that can continue a run across a bucket boundary: each bucket's
-    first and last key, plus NULL when the bucket holds NULL keys (they sort first).
-    At most three rows per bucket; depends only on the layout, not on any flag."""
+    first and last key in (keys ascending, NULLs first) order. At most two rows per
+    bucket; depends only on the layout, not on any flag.
+
+    Multi-column keys are narrowed one column at a time with hash aggregates
+    (partial aggregation, no sort): column i is minimised / maximised among the
+    rows that match the first i-1 columns of the bucket's minimum / maximum.
+    """
     keys = list(keys)
-    d = df
-    if len(keys) == 1:
-        k = keys[0]
-        bounds = d.groupBy(bucket).agg(F.min(k).alias("_lo"), F.max(k).alias("_hi"),
-                                       F.max(F.col(k).isNull().cast("int")).alias("_null"))
-        edges = (bounds.select(bucket, F.col("_lo").alias(f"_e_{k}"))
-                 .unionByName(bounds.select(bucket, F.col("_hi").alias(f"_e_{k}")))
-                 .unionByName(bounds.filter("_null = 1")
-                              .select(bucket, F.lit(None).cast(d.schema[k].dataType).alias(f"_e_{k}"))))
-    else:
-        kst = F.struct(*[F.col(c) for c in keys])
-        bounds = d.groupBy(bucket).agg(F.min(kst).alias("_lo"), F.max(kst).alias("_hi"))
-        edges = (bounds.select(bucket, *[F.col(f"_lo.{c}").alias(f"_e_{c}") for c in keys])
-                 .unionByName(bounds.select(bucket, *[F.col(f"_hi.{c}").alias(f"_e_{c}") for c in keys])))
-    return edges.withColumnRenamed(bucket, "_e_b").distinct()
+    d = df.select(bucket, *keys)
+    found = None
+    for i, k in enumerate(keys):
+        c = F.col(k)
+        if i == 0:
+            on_lo = on_hi = F.lit(True)
+            src = d
+        else:
+            on_lo = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_lo_{p}")) for p in keys[:i]])
+            on_hi = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_hi_{p}")) for p in keys[:i]])
+            src = d.join(F.broadcast(found), bucket)      # one row per bucket
+        # ascending with NULLs first: the minimum is NULL whenever a NULL is present
+        lo = F.when(F.count_if(on_lo & c.isNull()) > 0, F.lit(None)).otherwise(F.min(F.when(on_lo, c)))
+        hi = F.max(F.when(on_hi, c))
+        step = src.groupBy(bucket).agg(lo.cast(d.schema[k].dataType).alias(f"_lo_{k}"), hi.alias(f"_hi_{k}"))
+        found = step if found is None else found.join(step, bucket)
+    edges = (found.select(F.col(bucket).alias("_e_b"), *[F.col(f"_lo_{k}").alias(f"_e_{k}") for k in keys])
+             .unionByName(found.select(F.col(bucket).alias("_e_b"),
+                                       *[F.col(f"_hi_{k}").alias(f"_e_{k}") for k in keys])))
+    return edges.distinct()
 
 
 def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
