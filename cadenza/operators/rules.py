@@ -188,13 +188,21 @@ def current_price_flags(existing: DataFrame, batch: DataFrame, order: list,
     """
     seq = F.struct(*[F.col(c) for c in order])
     stmt = F.col(statement) if statement else seq
-    true_rows = batch.filter(F.col("is_current")).select("instrument_id", stmt.alias("_stmt"), seq.alias("_seq"))
-    per_stmt = true_rows.groupBy("instrument_id", "_stmt").agg(F.count(F.lit(1)).alias("_k"),
-                                                               F.max("_seq").alias("_last"))
-    winner = (per_stmt.groupBy("instrument_id")
-              .agg(F.max(F.struct("_stmt", "_k", "_last")).alias("_w"))
-              .select("instrument_id", F.col("_w._stmt").alias("_w_stmt"), F.col("_w._k").alias("_w_k"),
-                      F.col("_w._last").alias("_w_last")))
+    if statement is None:
+        # row mode: every row is its own statement, so the last TRUE row per instrument wins
+        winner = (batch.filter(F.col("is_current")).groupBy("instrument_id")
+                  .agg(F.max(seq).alias("_w_last"))
+                  .select("instrument_id", F.col("_w_last").alias("_w_stmt"), F.lit(1).cast("long").alias("_w_k"),
+                          "_w_last"))
+    else:
+        true_rows = batch.filter(F.col("is_current")).select("instrument_id", stmt.alias("_stmt"),
+                                                             seq.alias("_seq"))
+        per_stmt = true_rows.groupBy("instrument_id", "_stmt").agg(F.count(F.lit(1)).alias("_k"),
+                                                                   F.max("_seq").alias("_last"))
+        winner = (per_stmt.groupBy("instrument_id")
+                  .agg(F.max(F.struct("_stmt", "_k", "_last")).alias("_w"))
+                  .select("instrument_id", F.col("_w._stmt").alias("_w_stmt"), F.col("_w._k").alias("_w_k"),
+                          F.col("_w._last").alias("_w_last")))
     ex = (existing.join(winner.select("instrument_id", F.lit(True).alias("_hit")), "instrument_id", "left")
           .withColumn("is_current", F.when(F.col("_hit"), F.lit(False)).otherwise(F.col("is_current")))
           .drop("_hit").withColumn("source", F.lit("existing")))
@@ -249,9 +257,11 @@ def rental_admission_statement(batch: DataFrame, instrument: DataFrame, order: l
     day = to_date(as_of)
     ea = active_counts(existing, day) if existing is not None else None
     flagged = _rental_flags(batch, instrument, ea, day, limit, max_months, order, [statement])
-    fail = F.when(F.col("_reason").isNotNull(), F.struct(*[F.col(c) for c in order], F.col("_reason")))
-    res = (flagged.groupBy(statement)
-           .agg(F.count(F.lit(1)).alias("n_rows"), F.min(fail).alias("_first")))
+    rows = flagged.groupBy(statement).agg(F.count(F.lit(1)).alias("n_rows"))
+    # first failure per statement, looked for among failing rows only
+    first = (flagged.filter(F.col("_reason").isNotNull()).groupBy(statement)
+             .agg(F.min(F.struct(*[F.col(c) for c in order], F.col("_reason"))).alias("_first")))
+    res = rows.join(first, statement, "left")
     return res.select(statement, "n_rows", F.col("_first").isNull().alias("accepted"),
                       F.col("_first._reason").alias("reason"),
                       *[F.col(f"_first.{c}").alias(f"failed_{c}") for c in order])
