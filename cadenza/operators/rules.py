@@ -217,19 +217,12 @@ def current_price_flags(existing: DataFrame, batch: DataFrame, order: list,
 # --------------------------------------------------------------------------- R8 all rental rules
 
 def _rental_flags(b: DataFrame, instrument: DataFrame, existing_active: DataFrame | None, as_of: _dt.date,
-                  limit: int, max_months: int, order: list, scope: list[str],
-                  accepted_col: str | None = None, buckets: tuple[str, str] | None = None) -> DataFrame:
-    """Per-row pass/fail of the three rental triggers, counting earlier rows in ``scope``.
-
-    With ``accepted_col`` only rows flagged accepted count as earlier rows.
-    ``buckets`` names pinned range layouts (student, instrument) from ``range_buckets``.
-    """
-    acc = F.lit(True) if accepted_col is None else F.col(accepted_col)
-    bs, bi = buckets if buckets else (None, None)
+                  limit: int, max_months: int, order: list, scope: list[str]) -> DataFrame:
+    """Per-row first failing trigger, counting every earlier row of the same ``scope``
+    as accepted (exact up to a statement's first failure)."""
     b = b.withColumn("_is_active", _active("lease_expiry_time", as_of))
-    b = earlier_count(b, scope + ["student_id"], order, flag=acc & F.col("_is_active"), out="_act_before",
-                      bucket=bs)
-    b = earlier_count(b, scope + ["instrument_id"], order, flag=acc, out="_ins_before", bucket=bi)
+    b = earlier_count(b, scope + ["student_id"], order, flag="_is_active", out="_act_before")
+    b = earlier_count(b, scope + ["instrument_id"], order, out="_ins_before")
     b = b.join(instrument.select("instrument_id", "available_stock"), "instrument_id", "left")
     if existing_active is not None:
         b = b.join(existing_active, "student_id", "left")
