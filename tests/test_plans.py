@@ -37,3 +37,16 @@ def test_no_python_and_no_global_window(spark, key):
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     # a global aggregate may finish in one partition after partial aggregation; a window may not
     assert not re.search(r"Window \[.*\], \[\], \[", p)
+
+
+def test_prefix_count_plan_is_bucketed_and_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from cadenza.operators.scan import earlier_count
+
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber")
+    p = _plan(earlier_count(li, ["l_partkey"], ["l_orderkey", "l_linenumber"], out="e"), "extended")
+    # the window is partitioned by the pinned range and the key, never by the key alone
+    assert re.search(r"Window \[.*\], \[_scan_bucket#\d+, l_partkey#\d+L?\]", p), p
+    assert "SortAggregate" not in p and "BroadcastHashJoin" in p
+    assert "BatchEvalPython" not in p and "PythonMapInArrow" not in p and "MapInArrow" not in p
