@@ -40,8 +40,6 @@ def test_no_python_and_no_global_window(spark, key):
 
 
 def test_prefix_count_plan_is_bucketed_and_bounded(spark):
-    from pyspark.sql import functions as F
-
     from cadenza.operators.scan import earlier_count
 
     li = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber")
