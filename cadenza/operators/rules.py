@@ -22,11 +22,14 @@ from __future__ import annotations
 
 import datetime as _dt
 import logging
+import uuid as _uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import plus_months, to_date
+from cadenza.session import ensure_checkpoint_dir
 from cadenza.operators.scan import bucket_edges, earlier_count, range_buckets
 
 log = logging.getLogger(__name__)
@@ -266,7 +269,8 @@ class NotConverged(RuntimeError):
 
 def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
                          existing: DataFrame | None = None, as_of=None, limit: int = DEFAULT_MAX_ACTIVE,
-                         max_months: int = DEFAULT_MAX_MONTHS, max_rounds: int = 500) -> DataFrame:
+                         max_months: int = DEFAULT_MAX_MONTHS, max_rounds: int = 500,
+                         sparse_below: float = 0.01) -> DataFrame:
     """Row mode with all three rental triggers.
 
     Acceptance of a row depends on accepted earlier rows of its student *and*
@@ -278,9 +282,16 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
     before it). A round that changes nothing is the fixed point; each round
     settles at least the earliest unsettled row, and in practice many.
 
+    A row's counts can only move when an earlier row of its student or its
+    instrument changed. Once a round changes at most ``sparse_below`` of the
+    rows, later passes recount only the students / instruments that hold a
+    changed row and merge their new flags back by row key, instead of
+    re-shuffling the whole batch.
+
     The two range layouts (by student, by instrument) are sampled and pinned
-    once; a round is one checkpointed pass, and the only datum pulled to the
-    driver per round is the changed-row count. Raises if ``max_rounds`` is hit.
+    once, with their boundary keys; every pass ends in a checkpoint, and only
+    changed-row counts reach the driver. ``order`` must be a unique row key.
+    Raises if ``max_rounds`` is hit.
     """
     day = to_date(as_of)
     ea = active_counts(existing, day) if existing is not None else None
@@ -295,37 +306,90 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
     cur = (cur.withColumn("_existing_active", F.coalesce("_existing_active", F.lit(0)))
            .withColumn("_s_ok", F.lit(True)).withColumn("_i_ok", F.lit(True))
            .withColumn("_acc", F.col("_r3")))
+    # a row id, fixed by the checkpoint below, keys the sparse merges (one column, not the order tuple)
+    cur = cur.withColumn("_rid", F.monotonically_increasing_id())
     cur = range_buckets(cur, ["student_id"], order, "_b_student")
     cur = range_buckets(cur, ["instrument_id"], order, "_b_instrument")
-    # each layout's boundary keys are fixed: compute them once (at most three rows per range)
+    # each layout's boundary keys are fixed: compute them once (at most two rows per range)
     edges_s = bucket_edges(cur, ["student_id"], "_b_student").checkpoint(eager=True)
     edges_i = bucket_edges(cur, ["instrument_id"], "_b_instrument").checkpoint(eager=True)
+    n_rows = cur.count()
     accept = F.col("_r3") & F.col("_s_ok") & F.col("_i_ok")
+    passes = {
+        "student": ("student_id", "_b_student", edges_s, F.col("_acc") & F.col("_is_active"), "_s_ok",
+                    lambda n: (F.col("_existing_active") + n) < F.lit(limit)),
+        "instrument": ("instrument_id", "_b_instrument", edges_i, F.col("_acc"), "_i_ok",
+                       lambda n: F.coalesce(n < F.col("available_stock"), F.lit(False))),
+    }
+
+    # Sparse passes merge a few changed rows back into the whole batch. They are
+    # materialised as Parquet tables in the checkpoint folder rather than with
+    # checkpoint(): a checkpointed plan keeps its history, and merging a table
+    # with updates derived from itself made planning time grow with every pass.
+    stage_root = f"{ensure_checkpoint_dir(batch.sparkSession)}/admission-{_uuid.uuid4().hex}"
+    staged: list[tuple[str, DataFrame]] = []
+
+    def _stage(df: DataFrame) -> DataFrame:
+        path = f"{stage_root}/{len(staged)}"
+        df.write.parquet(path)
+        staged.append((path, df))
+        return df.sparkSession.read.parquet(path)
+
+    def _release(keep: str | None) -> None:
+        # empty every staged table the result does not read (reclaims the space)
+        for path, df in staged:
+            if path != keep:
+                df.limit(0).write.mode("overwrite").parquet(path)
+
+    def run_pass(cur: DataFrame, which: str, dirty: DataFrame | None):
+        key, bucket, edges, flag, ok_col, ok = passes[which]
+        sub = cur if dirty is None else cur.join(dirty, key, "left_semi")
+        r = earlier_count(sub, [key], order, flag=flag, out="_n", bucket=bucket, edges=edges)
+        r = (r.withColumn(ok_col, ok(F.col("_n"))).drop("_n")
+             .withColumn("_chg", accept != F.col("_acc")).withColumn("_acc", accept))
+        if dirty is None:
+            new = r.checkpoint(eager=True)
+            last_stage[0] = None
+            changed = new.filter("_chg").select("student_id", "instrument_id")
+            return new.drop("_chg"), changed, changed.count()
+        upd = _stage(r.select(F.col("_rid").alias("_u_rid"), F.col(ok_col).alias("_u_ok"),
+                              F.col("_acc").alias("_u_acc"), "_chg", "student_id", "instrument_id"))
+        new = (cur.join(upd.drop("_chg", "student_id", "instrument_id"), F.col("_rid") == F.col("_u_rid"), "left")
+               .withColumn(ok_col, F.coalesce("_u_ok", ok_col))
+               .withColumn("_acc", F.coalesce("_u_acc", "_acc"))
+               .drop("_u_ok", "_u_acc", "_u_rid"))
+        new = _stage(new)
+        last_stage[0] = staged[-1][0]
+        changed = upd.filter("_chg").select("student_id", "instrument_id")
+        return new, changed, changed.count()
+
+    budget = sparse_below * n_rows
+    last_stage: list[str | None] = [None]
+    chg_a = chg_b = None
+    n_a = n_b = None
     for rnd in range(max_rounds):
-        prev = F.col("_acc_prev")
-        r = cur.withColumn("_acc_prev", F.col("_acc"))
-        r = earlier_count(r, ["student_id"], order, flag=F.col("_acc") & F.col("_is_active"), out="_n",
-                          bucket="_b_student", edges=edges_s)
-        r = r.withColumn("_s_ok", (F.col("_existing_active") + F.col("_n")) < F.lit(limit)).drop("_n")
-        r = r.withColumn("_acc", accept).checkpoint(eager=True)
-        r = earlier_count(r, ["instrument_id"], order, flag="_acc", out="_n", bucket="_b_instrument",
-                          edges=edges_i)
-        r = (r.withColumn("_i_ok", F.coalesce(F.col("_n") < F.col("available_stock"), F.lit(False))).drop("_n")
-             .withColumn("_acc", accept)
-             .withColumn("_changed", F.col("_acc") != prev).drop("_acc_prev")
-             .checkpoint(eager=True))
-        changed = r.filter("_changed").count()
-        log.info("row-mode admission: round %d changed %d rows", rnd + 1, changed)
+        # student pass: students holding a row changed since their last recount (or all)
+        dirty_s = None
+        if rnd > 0 and n_a + n_b <= budget:
+            dirty_s = chg_a.unionByName(chg_b).select("student_id").distinct().checkpoint(eager=True)
+        cur, chg_a, n_a = run_pass(cur, "student", dirty_s)
+        # instrument pass: instruments holding a row changed since their last recount (or all)
+        dirty_i = None
+        if rnd > 0 and n_a + n_b <= budget:
+            dirty_i = chg_a.unionByName(chg_b).select("instrument_id").distinct().checkpoint(eager=True)
+        cur, chg_b, n_b = run_pass(cur, "instrument", dirty_i)
+        log.info("row-mode admission: round %d changed %d rows (%s)", rnd + 1, n_a + n_b,
+                 "sparse" if dirty_s is not None else "full")
         if rnd + 1 == 50:
             log.warning("row-mode admission still changing after 50 rounds (%d rows): long dependency chains",
-                        changed)
-        cur = r.drop("_changed")
-        if changed == 0:
+                        n_a + n_b)
+        if n_a + n_b == 0:
+            _release(last_stage[0])
             reason = (F.when(~F.col("_s_ok"), F.lit(R_ACTIVE)).when(~F.col("_i_ok"), F.lit(R_STOCK))
                       .when(~F.col("_r3"), F.lit(R_DURATION)))
             return (cur.withColumn("reason", reason).withColumnRenamed("_acc", "accepted")
                     .drop("_r3", "_is_active", "_s_ok", "_i_ok", "_existing_active", "available_stock",
-                          "_b_student", "_b_instrument"))
+                          "_b_student", "_b_instrument", "_rid"))
     raise NotConverged(f"row-mode admission did not settle in {max_rounds} rounds")
 
 

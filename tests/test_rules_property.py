@@ -100,12 +100,14 @@ def _sequential_admission(rows, stock, existing, limit, months):
     return out
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_rental_admission_row_matches_sequential(spark, seed):
+@pytest.mark.parametrize("seed,sparse", [(4, 0.01), (5, 0.01), (15, 1.0), (16, 1.0)])
+def test_rental_admission_row_matches_sequential(spark, seed, sparse):
     rnd = random.Random(seed)
     rows, stock, existing, inst, ex, batch = _frames(spark, rnd, 80)
     exp = _sequential_admission(rows, stock, existing, 2, 12)
-    got = rules.rental_admission_row(batch, inst, ["seq"], existing=ex, as_of=AS_OF, limit=2, max_months=12)
+    # sparse=1.0 recounts only keys with changed rows from the second round on
+    got = rules.rental_admission_row(batch, inst, ["seq"], existing=ex, as_of=AS_OF, limit=2, max_months=12,
+                                     sparse_below=sparse)
     assert {r.seq: r.reason for r in got.collect()} == exp
 
 
