@@ -270,7 +270,7 @@ class NotConverged(RuntimeError):
 def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
                          existing: DataFrame | None = None, as_of=None, limit: int = DEFAULT_MAX_ACTIVE,
                          max_months: int = DEFAULT_MAX_MONTHS, max_rounds: int = 500,
-                         sparse_below: float = 0.01) -> DataFrame:
+                         sparse_below: float = 0.01, sparse_min_rows: int = 5_000_000) -> DataFrame:
     """Row mode with all three rental triggers.
 
     Acceptance of a row depends on accepted earlier rows of its student *and*
@@ -286,7 +286,8 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
     instrument changed. Once a round changes at most ``sparse_below`` of the
     rows, later passes recount only the students / instruments that hold a
     changed row and merge their new flags back by row key, instead of
-    re-shuffling the whole batch.
+    re-shuffling the whole batch. Below ``sparse_min_rows`` rows a full pass is
+    cheaper than the extra jobs of a sparse one, so small batches stay full.
 
     The two range layouts (by student, by instrument) are sampled and pinned
     once, with their boundary keys; every pass ends in a checkpoint, and only
@@ -363,7 +364,7 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
         changed = upd.filter("_chg").select("student_id", "instrument_id")
         return new, changed, changed.count()
 
-    budget = sparse_below * n_rows
+    budget = sparse_below * n_rows if n_rows >= sparse_min_rows else -1
     last_stage: list[str | None] = [None]
     chg_a = chg_b = None
     n_a = n_b = None
