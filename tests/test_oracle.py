@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cadenza.plans.catalog import oracle_sql, queries
 from tools.compare import TABLES, compare
 
 SF = os.environ.get("CADENZA_TEST_SF", "/root/testdata/sf0.001")
