@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, exact_dedup, mixing, sharding, url_filter
+from cadenza.llm import decontaminate, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, sharding, toxicity, url_filter
 from cadenza.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,11 +91,21 @@ def query(key: str, sql: str | None = None):
     return deco
 
 
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(read(spark, sf_dir, "documents"))
+
+
 @query("op2_exact_dedup", EXACT_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+@query("op3_ngram_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query("op4_sharding")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -105,6 +115,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing", MIX_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.stage(mixing.sized(read(spark, sf_dir, "documents")))
@@ -117,6 +137,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op10_url_filter", URL_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
