@@ -61,7 +61,8 @@ def _seed_rows(df: DataFrame, words: str, keys: list[str], prefix: str) -> DataF
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per (doc_id, item_id) that overlaps: equal_words, window_words, doc_at, item_at of its best window."""
+    """One row per document and item that overlap: doc_id, text_hash, item_id, and equal_words, window_words,
+    doc_at, item_at (word positions) of their best window."""
     items = stage(benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("item_words"))
                   .where(F.size("item_words") >= MIN_WORDS))
     item_seeds = stage(_seed_rows(items, "item_words", ["item_id"], "item"))
@@ -86,8 +87,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     best = (at_item.withColumn("n", n).withColumn("same", along)
             .withColumn("best", windows)
             .where((F.col("n") - F.col("best.equal_words")) * 5 <= F.col("n")))
-    found = best.select("doc_id", "item_id", F.struct(
+    found = best.select("doc_id", F.col("th").alias("text_hash"), "item_id", F.struct(
         "best.equal_words", (F.col("shift") - F.col("best.back")).alias("doc_at"), (-F.col("best.back")).alias("item_at"),
         F.col("n").alias("window_words")).alias("b"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).select(
-        "doc_id", "item_id", "b.equal_words", "b.window_words", "b.doc_at", "b.item_at")
+    return found.groupBy("doc_id", "text_hash", "item_id").agg(F.max("b").alias("b")).select(
+        "doc_id", "text_hash", "item_id", "b.equal_words", "b.window_words", "b.doc_at", "b.item_at")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that overlap an item; all columns kept."""
+    bad = contaminated(docs, benchmark, id_col, text_col).select("doc_id", "text_hash").distinct()
+    bad = bounded_broadcast(stage(bad), MAX_BROADCAST_HITS)
+    row = F.struct("*").alias("_row")
+    keyed = docs.select(row, F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"))
+    return keyed.join(bad, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("text_hash")), "left_anti").select("_row.*")

@@ -99,9 +99,17 @@ def mix_plan(rows: DataFrame) -> DataFrame:
     return stage(hash_thresholds(rows, targets).drop("rest"))
 
 
-def mix(rows: DataFrame, plan: DataFrame, source: str = "source", h: str = "h") -> DataFrame:
-    """``rows`` (any columns, with a source and a hash column) with source_size, target and ``copies``."""
+def mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (any columns, with source and h) with source_size, target and ``copies``."""
     plan = bounded_broadcast(plan.withColumnRenamed("source", "_plan_source"), MAX_BROADCAST_SOURCES)
-    return (rows.join(plan, F.col(source).eqNullSafe(F.col("_plan_source")))
-            .withColumn("copies", (F.col("whole") + (F.col(h) < F.col("threshold")).cast("long")).cast("int"))
+    return (rows.join(plan, F.col("source").eqNullSafe(F.col("_plan_source")))
+            .withColumn("copies", (F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")).cast("int"))
             .drop("_plan_source", "whole", "threshold"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; all columns kept."""
+    plan = mix_plan(stage(sized(docs, id_col, text_col, source_col)))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(source_col).alias("source"), hash32(F.col(id_col)).alias("h"))
+    taken = mix(keyed, plan).where("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")

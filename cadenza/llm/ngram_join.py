@@ -296,3 +296,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (members.join(sets, ["set_hash", "set_key"], "left")
             .join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id; rows without an id stay."""
+    found = stage(near_duplicates(docs, id_col, text_col))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = bounded_broadcast(stage(gone), MAX_BROADCAST_IDS)
+    kept = (docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+            .join(gone, F.col("_id") == F.col("_gone"), "left_anti"))
+    # rows that repeat an id are one document; they are few, so only they are shuffled
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    twice = bounded_broadcast(stage(twice), MAX_BROADCAST_IDS)
+    once = kept.join(twice, F.col("_id") == F.col("_twice"), "left_anti")
+    firsts = kept.join(twice, F.col("_id") == F.col("_twice"), "left_semi").dropDuplicates(["_id"])
+    return once.unionByName(firsts).select("_row.*")

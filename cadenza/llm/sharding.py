@@ -106,3 +106,10 @@ def shard_rows(df: DataFrame, key_cols: list[str], n_shards: int = 8, virtual: i
     placed = ranked.join(F.broadcast(takes), "_arc").where("_rank >= _from AND _rank < _to")
     keep = [F.col(f"`{c}`") for c in df.columns]
     return placed.select(*keep, "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"))
+
+
+def sharded_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with shard and slot; input columns of these names are replaced."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]).alias("_doc"),
+                        F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"))
+    return shard_rows(keyed, ["_id", "_th"], n_shards).select("_doc.*", "shard", "slot")

@@ -195,8 +195,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                          "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def add_score(df: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` (any columns, with a text column) with ``score``, by a model trained on ``docs`` and ``labels``."""
+def add_score(df: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              scored_col: str = "text") -> DataFrame:
+    """``df`` with ``score`` of its column ``scored_col``, by a model trained on ``docs`` and ``labels``."""
     model = train(docs, labels, id_col, text_col)
     if model is None:
         return df.withColumn("score", F.lit(0.0))
@@ -207,4 +208,10 @@ def add_score(df: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str = "
         for texts in batches:
             yield pd.Series(model.score([model.features(t, coders) for t in texts]) if len(texts) else [], dtype="float64")
 
-    return df.withColumn("score", toxic_score(F.col(f"`{text_col}`")))
+    return df.withColumn("score", toxic_score(F.col(f"`{scored_col}`")))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose score reaches THRESHOLD; all columns kept."""
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
+    return add_score(keyed, docs, labels, id_col, text_col, "text").where(F.col("score") < THRESHOLD).select("_row.*")
