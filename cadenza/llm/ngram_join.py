@@ -14,16 +14,17 @@ estimated in one pass and changes the work, never the result. A cell is all sets
 that have a shingle among their first. Cells beyond BLOCK sets are dealt to tasks
 as pairs of blocks.
 
-Steps: equal sets collapse to a class; every class is verified against the
-leader it shares most cells with, which already joins the large groups of near
-copies; classes that are then in one component need no more pairs, all other
-pairs of a cell go through its R-tree; what survives is verified on the whole
-sets. No link between different sets is missed, and no group's pairs are listed.
+Steps: equal sets collapse to one node, cells with the same members to one cell;
+every node is verified against the leader it shares most cells with, which joins
+the large groups of near copies; nodes that are then in one component need no
+more pairs, all other pairs of a cell go through its R-tree; what survives is
+verified on the whole sets. No link between different sets is missed, and no
+group's pairs are listed.
 
 Defined results: null and empty texts have no shingles and are linked with
-nothing; fewer than 5 words make one shingle; equal sets are linked; rows that
-share an id count as one document; a null id gets a null component; an empty
-table gives no rows.
+nothing; fewer than 5 words make one shingle; equal sets are linked; repeated
+rows are each returned; a null id is ignored as a component's smallest id; an
+empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import bounded_broadcast, components, stage
-from cadenza.llm.wordhash import shingle_hashes, text_batches
+from cadenza.llm.wordhash import mix, shingle_hashes, text_batches
 
 WORDS = 5
 NUM, DEN = 4, 5                    # similarity 0.8
@@ -46,6 +47,7 @@ COMMON_BUCKETS = 1 << 16           # buckets that count as common, at most; affe
 BLOCK = 1024
 LEAF, FANOUT = 32, 8
 MAX_BROADCAST_IDS = 2_000_000
+MAX_BROADCAST_CELLS = 4_000_000
 
 
 def needed_overlap(a, b):
@@ -89,7 +91,7 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, counts, prefix) for (doc_id, text): one row per row."""
+    """(doc_id, th, n_shingles, node, counts, prefix) for (doc_id, th, text); node is the set's 64-bit hash."""
     weights = common_shingles(texts)
     common = np.flatnonzero(weights).astype(np.int64)
     weight_of = weights[common]
@@ -97,16 +99,13 @@ def signatures(texts: DataFrame) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         order[common] = weight_of
-        place = np.random.default_rng(11).integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for b in batches:
-            ids, done = b.column(0), 0
-            for part in text_batches(b.column(1).to_pylist()):
+            done = 0
+            for part in text_batches(b.column(2).to_pylist()):
                 sizes, keys, points, firsts = [], [], [], []
                 for s in shingle_hashes(part, WORDS):
                     sizes.append(len(s))
-                    # two sums over scrambled members: 128 bits that tell sets apart
-                    keys.append(b"".join(int((((s ^ p) * p) ^ ((s ^ p) >> np.uint64(29))).sum(dtype=np.uint64)).to_bytes(8, "little")
-                                         for p in place) + len(s).to_bytes(4, "little"))
+                    keys.append(int(mix(np.array([mix(s ^ np.uint64(len(s))).sum(dtype=np.uint64)]))[0].view(np.int64)))
                     points.append(packed(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)))
                     if len(s):
                         p = prefix_length(len(s))
@@ -118,45 +117,36 @@ def signatures(texts: DataFrame) -> DataFrame:
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
                                                   pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(done, len(part)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                     pa.array(points, pa.binary()), prefix], ["doc_id", "n_shingles", "set_key", "counts", "prefix"])
+                    [b.column(0).slice(done, len(part)), b.column(1).slice(done, len(part)), pa.array(sizes, pa.int64()),
+                     pa.array(keys, pa.int64()), pa.array(points, pa.binary()), prefix],
+                    ["doc_id", "th", "n_shingles", "node", "counts", "prefix"])
                 done += len(part)
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(signed, f"doc_id {id_type}, n_shingles long, set_key binary, counts binary, prefix array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets are similar enough."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    return texts.select("doc_id", "th", "text").mapInArrow(
+        signed, f"doc_id {id_type}, th long, n_shingles long, node long, counts binary, prefix array<long>")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = 0
-            for part in text_batches(b.column(1).to_pylist()):
-                members = [s.tobytes() for s in shingle_hashes(part, WORDS)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(part)), pa.array(members, pa.binary())],
-                                                 ["doc_id", "members"])
-                done += len(part)
 
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-    known = texts.join(bounded_broadcast(ids, MAX_BROADCAST_IDS), "doc_id").mapInArrow(
-        sets, f"doc_id {id_type}, members binary")
-    known = stage(known)
+def verified(pairs: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar enough; ``places`` has a row (doc_id, th) of each node."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    where = stage(places.join(nodes, "node").select("node", F.col("doc_id").alias("p_id"), F.col("th").alias("p_th")))
+    known = (texts.join(bounded_broadcast(where, MAX_BROADCAST_IDS),
+                        F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
+             .select("node", "text").dropDuplicates(["node"]))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and both * DEN >= NUM * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                b, keep = batch.slice(at, 64), []
+                sets = [[s for part in text_batches(b.column(c).to_pylist()) for s in shingle_hashes(part, WORDS)] for c in (2, 3)]
+                for x, y in zip(*sets):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both > 0 and both * DEN >= NUM * (len(x) + len(y) - both))
+                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = known.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-            .mapInArrow(similar, f"a {id_type}, b {id_type}").distinct())
+    return (pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select("a", "b", "x", "y")
+            .mapInArrow(similar, "a long, b long"))
 
 
 class Tree:
@@ -212,8 +202,8 @@ def tree_join(a: Tree, b: Tree, same: bool) -> list[tuple[int, int]]:
     return out
 
 
-def cell_pairs(cells: DataFrame, id_type: str) -> DataFrame:
-    """Candidate pairs (a, b) of the cells' rows (cell, part, side, doc_id, component, n_shingles, counts).
+def cell_pairs(cells: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the cells' rows (cell, part, side, node, component, n_shingles, counts).
 
     Rows arrive sorted by (cell, part); side 0 joins itself, sides 1 and 2 join each other.
     """
@@ -254,59 +244,84 @@ def cell_pairs(cells: DataFrame, id_type: str) -> DataFrame:
             yield out
 
     return (cells.repartition("cell", "part").sortWithinPartitions("cell", "part")
-            .select("cell", "part", "side", "doc_id", "component", "n_shingles", "counts")
-            .mapInArrow(joined, f"a {id_type}, b {id_type}").distinct())
+            .select("cell", "part", "side", "node", "component", "n_shingles", "counts")
+            .mapInArrow(joined, "a long, b long").distinct())
+
+
+def shared_cells(signed: DataFrame) -> DataFrame:
+    """(cell, node, n, weight, leader): cells with several nodes; of cells with the same members one, weight times."""
+    cells = signed.where("n_shingles > 0").select("node", F.explode("prefix").alias("cell"))
+    several = stage(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
+    shared = stage(cells.join(bounded_broadcast(several, MAX_BROADCAST_CELLS), "cell").distinct())
+    alike = ["n", "leader", "last", "x", "y"]
+    members = shared.groupBy("cell").agg(
+        F.count("*").alias("n"), F.min("node").alias("leader"), F.max("node").alias("last"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("y")).where("n > 1")
+    one = members.groupBy(*alike).agg(F.min("cell").alias("cell"), F.count("*").alias("weight")).select("cell", "n", "weight", "leader")
+    return stage(shared.join(bounded_broadcast(stage(one), MAX_BROADCAST_CELLS), "cell"))
+
+
+def blocked(cells: DataFrame) -> DataFrame:
+    """``cells`` (with cell, node, n) dealt out as pairs of blocks of about BLOCK nodes: part and side."""
+    cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    cells = cells.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    part = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return cells.withColumn("part", part).withColumn("side", side).drop("blocks", "mine", "other")
+
+
+def linked_nodes(signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that are linked to another."""
+    shared = shared_cells(signed)
+    places = signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("p")).select("node", "p.*")
+    votes = shared.where("node <> leader").groupBy("node", "leader").agg(F.sum("weight").alias("votes"))
+    best = stage(votes.groupBy("node").agg(F.max_by("leader", "votes").alias("leader")).toDF("b", "a").select("a", "b"))
+    links = stage(verified(best, places, texts))
+    first = components(links)
 
+    placed = stage(shared.join(first, "node", "left").select(
+        "cell", "n", "node", F.coalesce("component", "node").alias("component")))
+    mixed = placed.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("cell")
+    points = signed.select("node", "n_shingles", "counts").join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    candidates = stage(cell_pairs(blocked(placed.join(mixed, "cell")).join(points, "node")))
+    return components(stage(links.unionByName(verified(candidates, places, texts))))
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``; component_id is the smallest linked id."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = texts.schema["doc_id"].dataType.simpleString()
+
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, th, n_shingles, component_id) for every row of ``docs``; th is the text's hash."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     signed = stage(signatures(texts))
-    sets = (signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key")
-            .agg(F.min("doc_id").alias("class_id")).withColumn("set_hash", F.xxhash64("set_key")))
-    sets = stage(sets)
-    members = signed.withColumn("set_hash", F.xxhash64("set_key"))
-    classes = (members.join(sets, ["set_hash", "set_key"]).where("doc_id = class_id")
-               .select("doc_id", "n_shingles", "counts", "prefix").dropDuplicates(["doc_id", "counts"]))
-    cells = classes.select("doc_id", F.explode("prefix").alias("cell"))
-    several = (cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1"))
-    shared = stage(cells.join(several, "cell"))
-
-    votes = shared.where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("doc_id").agg(F.max_by("leader", "votes").alias("leader"))
-    links = stage(verified(best.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")), texts))
-    first = components(links)
+    linked = bounded_broadcast(linked_nodes(signed, texts), MAX_BROADCAST_IDS)
+    rows = signed.select("doc_id", "th", "n_shingles", "node").join(linked, "node", "left").select(
+        "doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component"))
+    rows = stage(rows)
+    groups = stage(rows.groupBy("component").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+                   .where("n > 1 AND component IS NOT NULL").drop("n"))
+    return (rows.join(bounded_broadcast(groups, MAX_BROADCAST_IDS), "component", "left")
+            .select("doc_id", "th", "n_shingles", F.coalesce("first", "doc_id").alias("component_id")))
 
-    placed = shared.join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-        "cell", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    open_cells = placed.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("cell")
-    points = classes.select("doc_id", "n_shingles", "counts")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    placed = placed.join(open_cells, "cell").withColumn("blocks", blocks.cast("int")).withColumn(
-        "mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = placed.select("cell", "doc_id", "component", "blocks", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("cell", "doc_id", "component",
-                         (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).alias("part"),
-                         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
-    candidates = stage(cell_pairs(dealt.join(points, "doc_id"), id_type))
-    more = verified(candidates, texts)
-    # within a class the ids hang on the class's id; only classes take part in the graph
-    linked = components(stage(links.unionByName(more)))
-    return (members.join(sets, ["set_hash", "set_key"], "left")
-            .join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id")))
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``; component_id is the smallest linked id."""
+    return linked_rows(docs, id_col, text_col).drop("th")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id; rows without an id stay."""
-    found = stage(near_duplicates(docs, id_col, text_col))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """``docs`` with one row of each component, that with the smallest id (of rows that repeat it, one).
+
+    Rows without an id stay.
+    """
+    found = stage(linked_rows(docs, id_col, text_col).where("doc_id IS NOT NULL"))
+    # one text hash per id that stays; everything else goes
+    stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("th").alias("s_th")).withColumnRenamed("doc_id", "s_id")
+    gone = (found.join(stays, (F.col("doc_id") == F.col("s_id")) & (F.col("th") == F.col("s_th")), "left_anti")
+            .select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct())
     gone = bounded_broadcast(stage(gone), MAX_BROADCAST_IDS)
-    kept = (docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
-            .join(gone, F.col("_id") == F.col("_gone"), "left_anti"))
-    # rows that repeat an id are one document; they are few, so only they are shuffled
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    kept = (docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"))
+            .join(gone, (F.col("_id") == F.col("g_id")) & (F.col("_th") == F.col("g_th")), "left_anti"))
+    # rows repeated as a whole are few; only they are shuffled
+    twice = found.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("_twice")).distinct()
     twice = bounded_broadcast(stage(twice), MAX_BROADCAST_IDS)
     once = kept.join(twice, F.col("_id") == F.col("_twice"), "left_anti")
     firsts = kept.join(twice, F.col("_id") == F.col("_twice"), "left_semi").dropDuplicates(["_id"])
