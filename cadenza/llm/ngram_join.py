@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join with count-vector R-trees, exact at any size.
 
 A document's set is its distinct 5-word shingles (64-bit hashes). Each shingle
-belongs to one of GROUPS groups; a document is the point of its group counts. The
+belongs to one of ``group_count`` groups (more for larger sets; finer counts fold
+to coarser ones by sums); a document is the point of its group counts. The
 overlap of two sets is at most the sum of the coordinate minima of their points,
 and for two tree nodes at most that sum over their boxes' upper corners, so an
 R-tree over points drops pairs and whole subtrees that cannot reach the threshold.
@@ -11,8 +12,8 @@ boxes of a large corpus overlap), so trees are built in cells: two sets with
 Jaccard >= 0.8 must share one of their first n - ceil(0.8 n) + 1 shingles in any
 common order. The order puts common shingles last; which ones are common is
 estimated in one pass and changes the work, never the result. A cell is all sets
-that have a shingle among their first. Cells beyond BLOCK sets are dealt to tasks
-as pairs of blocks.
+that have a shingle among their first, cut into bands of sizes that can be similar.
+Cells beyond BLOCK sets are dealt to tasks as pairs of blocks.
 
 Steps: equal sets collapse to one node, cells with the same members to one cell;
 every node is verified against the leader it shares most cells with, which joins
@@ -41,7 +42,8 @@ from cadenza.llm.wordhash import mix, shingle_hashes, text_batches
 
 WORDS = 5
 NUM, DEN = 4, 5                    # similarity 0.8
-GROUPS = 128
+LEAST_GROUPS, GROUP_SIZE = 128, 10     # groups: a power of two, about one for ten shingles
+BAND = 1.2501                         # sizes of similar sets differ by less
 BUCKET_BITS = 20
 COMMON_BUCKETS = 1 << 16           # buckets that count as common, at most; affects only the order
 BLOCK = 1024
@@ -59,13 +61,23 @@ def prefix_length(n: int) -> int:
     return n - -(-n * NUM // DEN) + 1
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Group counts in one byte each where all fit, else in four."""
-    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+def group_counts(s: np.ndarray) -> bytes:
+    """Counts by group, in one byte each where all fit, else in four; the groups are low bits of the hash."""
+    n = LEAST_GROUPS
+    while n * GROUP_SIZE < len(s):
+        n *= 2
+    counts = np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return b"\1" + counts.astype("u1").tobytes() if counts.max() < 256 else b"\4" + counts.astype("<u4").tobytes()
 
 
 def unpacked(counts: bytes) -> np.ndarray:
-    return np.frombuffer(counts, dtype="u1" if len(counts) == GROUPS else "<u4").astype(np.int64)
+    return np.frombuffer(counts, dtype="u1" if counts[:1] == b"\1" else "<u4", offset=1).astype(np.int64)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points in as many groups as the coarsest has."""
+    n = min(map(len, points))
+    return np.stack([p if len(p) == n else p.reshape(-1, n).sum(axis=0) for p in points])
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
@@ -106,7 +118,7 @@ def signatures(texts: DataFrame) -> DataFrame:
                 for s in shingle_hashes(part, WORDS):
                     sizes.append(len(s))
                     keys.append(int(mix(np.array([mix(s ^ np.uint64(len(s))).sum(dtype=np.uint64)]))[0].view(np.int64)))
-                    points.append(packed(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)))
+                    points.append(group_counts(s))
                     if len(s):
                         p = prefix_length(len(s))
                         rank = order[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
@@ -127,6 +139,20 @@ def signatures(texts: DataFrame) -> DataFrame:
         signed, f"doc_id {id_type}, th long, n_shingles long, node long, counts binary, prefix array<long>")
 
 
+def within_bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose summed coordinate minima reach the needed overlap."""
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for m, n, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+                need = needed_overlap(m, n)
+                keep.append(need <= min(m, n) and int(np.minimum(*folded([unpacked(x), unpacked(y)])).sum()) >= need)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = points.toDF("a", "m", "x"), points.toDF("b", "n", "y")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(bounded, "a long, b long")
+
+
 def verified(pairs: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough; ``places`` has a row (doc_id, th) of each node."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -216,7 +242,7 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
             ids = [r[1] for r in held]
             groups = np.unique(np.array([r[2] for r in held]), return_inverse=True)[1]
             sizes = np.array([r[3] for r in held], dtype=np.int64)
-            points = np.stack([unpacked(r[4]) for r in held])
+            points = folded([unpacked(r[4]) for r in held])
             if side.max() == 0:
                 tree = Tree(points, sizes, groups)
                 found = tree_join(tree, tree, True)
@@ -262,13 +288,20 @@ def shared_cells(signed: DataFrame) -> DataFrame:
 
 
 def blocked(cells: DataFrame) -> DataFrame:
-    """``cells`` (with cell, node, n) dealt out as pairs of blocks of about BLOCK nodes: part and side."""
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    """``cells`` (cell, node, component, n_shingles) by band of sizes, dealt out as pairs of blocks: part and side.
+
+    A set is in its own band and the next, so similar sets meet. Bands of a cell with one component go.
+    """
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(BAND))).cast("int")
+    cells = cells.select("cell", "node", "component", F.explode(F.array(band, band + 1)).alias("band"))
+    bands = (cells.groupBy("cell", "band").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+             .where("x < y").drop("x", "y"))
+    cells = cells.join(bands, ["cell", "band"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     cells = cells.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    part = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    return cells.withColumn("part", part).withColumn("side", side).drop("blocks", "mine", "other")
+    return cells.select("cell", "node", "component", F.xxhash64("band", low, high).alias("part"), side.alias("side"))
 
 
 def linked_nodes(signed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -276,15 +309,15 @@ def linked_nodes(signed: DataFrame, texts: DataFrame) -> DataFrame:
     shared = shared_cells(signed)
     places = signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("p")).select("node", "p.*")
     votes = shared.where("node <> leader").groupBy("node", "leader").agg(F.sum("weight").alias("votes"))
-    best = stage(votes.groupBy("node").agg(F.max_by("leader", "votes").alias("leader")).toDF("b", "a").select("a", "b"))
-    links = stage(verified(best, places, texts))
+    best = votes.groupBy("node").agg(F.max_by("leader", "votes").alias("leader")).toDF("b", "a").select("a", "b")
+    points = stage(signed.select("node", "n_shingles", "counts")
+                   .join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    links = stage(verified(stage(within_bound(best, points)), places, texts))
     first = components(links)
 
-    placed = stage(shared.join(first, "node", "left").select(
-        "cell", "n", "node", F.coalesce("component", "node").alias("component")))
-    mixed = placed.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("cell")
-    points = signed.select("node", "n_shingles", "counts").join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    candidates = stage(cell_pairs(blocked(placed.join(mixed, "cell")).join(points, "node")))
+    placed = shared.join(first, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
+    placed = stage(placed.join(points.select("node", "n_shingles"), "node"))
+    candidates = stage(cell_pairs(blocked(placed).join(points, "node")))
     return components(stage(links.unionByName(verified(candidates, places, texts))))
 
 
