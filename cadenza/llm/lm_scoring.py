@@ -4,13 +4,14 @@ Vocabulary: the pieces of an existing tokenizer model, whose scores rank them.
 Piece probabilities are learned from the training text: counts of pieces over
 its distinct words, smoothed with a prior that falls with the vocabulary's rank.
 A word's probability sums over all its segmentations into pieces, by a forward
-recursion in log space; one further edge spans the whole word if the training
-text has it (absolute discounting: the mass taken from known words goes to the
-subword edges). Characters without a piece go by their UTF-8 byte pieces. A
-document is its words and one end; its log10 probability is their sum.
+recursion in log space. Two further kinds of edge span what the training text
+has whole: a word, and a line (absolute discounting: the mass taken from known
+words goes to the pieces, that from known lines to their words). Characters
+without a piece go by their UTF-8 byte pieces. A line is its words and its end, a
+document its lines and its end; the score is the log10 probability of the whole.
 
 The lattice runs once per distinct word. The FREQUENT most common words reach
-all tasks by a broadcast of bounded size, the rest by joins on the word, so hot
+all tasks by a broadcast of bounded size, the rest by a join on the word, so hot
 words are summed where they are read and rare words are spread evenly.
 
 Defined results: null text counts as empty and scores its end alone; words are
@@ -26,12 +27,14 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import WORD, ascii_lower, stage
+from cadenza.llm.wordhash import text_batches, word_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 END = " "                       # no word contains a space
@@ -81,14 +84,73 @@ class Lattice:
         return top + math.log(sum(math.exp(p - top) for p in into[n]))
 
 
+def held_out(doc_id):
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
+
+
 def tokens_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, held_out, word) for every word and one END per row."""
+    """(held_out, word) for every word and one END per row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.array_append(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.lit(END))
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"),
-        F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False)).alias("held_out"),
-        F.explode(words).alias("word"))
+    return docs.select(held_out(F.col(id_col)).alias("held_out"), F.explode(words).alias("word"))
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, line_no, lh, line): th and lh are hashes of the text and of the lower-cased line."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"),
+                        F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    return lines.select("doc_id", "th", "line_no", F.xxhash64(ascii_lower(F.col("line"))).alias("lh"), "line")
+
+
+def split_sums(lines: DataFrame, common: list) -> DataFrame:
+    """For every line its sums over the common words (rare null), and each of its rare words with its count.
+
+    (doc_id, th, line_no, lh, rare, t, lines, k1, b1, s1). Common words are found by their 64-bit hashes.
+    """
+    found, _ = word_hashes([" ".join(r["word"] for r in common).encode()])
+    order = np.argsort(found)
+    keys = np.append(found[order], ~np.uint64(0))
+    values = np.array([(r["known"], r["base"], r["score"]) for r in common], dtype=np.float64).reshape(-1, 3)[order]
+    shared = lines.sparkSession.sparkContext.broadcast((keys, values))      # FREQUENT rows of four numbers at most
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = shared.value
+        for batch in batches:
+            done = 0
+            for part in text_batches(batch.column(4).to_pylist()):
+                h, at = word_hashes(part)
+                place = np.searchsorted(keys[:-1], h)
+                known = keys[place] == h
+                sums = np.zeros((len(h) + 1, 4))
+                sums[:-1][known, 0] = 1
+                if len(values):
+                    sums[:-1][known, 1:] = values[place[known]]
+                per_line = np.zeros((len(part), 4))
+                full = np.flatnonzero(at[1:] > at[:-1])
+                if len(full):
+                    per_line[full] = np.add.reduceat(sums, at[:-1][full], axis=0)
+                row, rare, count = list(range(len(part))), [None] * len(part), per_line[:, 0].round().astype(int).tolist()
+                unknown = np.flatnonzero(~known)
+                of = np.searchsorted(at, unknown, side="right") - 1
+                for i in np.unique(of):
+                    words = part[i].split()
+                    mine = unknown[np.searchsorted(of, i):np.searchsorted(of, i, side="right")]
+                    for w, c in Counter(words[j] for j in mine - at[i]).items():
+                        row.append(int(i))
+                        rare.append(w.decode("utf-8"))
+                        count.append(c)
+                take = pa.array(np.array(row, dtype=np.int64) + done)
+                fill = lambda v, kind: pa.array(np.concatenate([v, np.zeros(len(row) - len(part))]).astype(kind))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(take) for i in range(4)), pa.array(rare, pa.string()), pa.array(count, pa.int64()),
+                     fill(np.ones(len(part)), "i8"), fill(per_line[:, 1].round(), "i8"), fill(per_line[:, 2], "f8"),
+                     fill(per_line[:, 3], "f8")], ["doc_id", "th", "line_no", "lh", "rare", "t", "lines", "k1", "b1", "s1"])
+                done += len(part)
+
+    id_type = lines.schema["doc_id"].dataType.simpleString()
+    return lines.mapInArrow(split, f"doc_id {id_type}, th long, line_no int, lh long, rare string, t long, lines long, "
+                                   "k1 long, b1 double, s1 double")
 
 
 def piece_counts(words: DataFrame, model: bytes) -> dict[int, float]:
@@ -113,8 +175,6 @@ def word_table(counts: DataFrame, n: int, v: int, ends: int, model: bytes) -> Da
     pieces = piece_counts(counts.where(f"c > 0 AND word <> '{END}'"), model)
     words_n = n - ends
     spare = math.log(DISCOUNT * (v - 1) / words_n) if words_n > 0 and v > 1 else 0.0
-    end = math.log((ends + BASE_ADD) / (n + 2 * BASE_ADD))
-    go_on = math.log((words_n + BASE_ADD) / (n + 2 * BASE_ADD))
     log_all = math.log10(n + BASE_ADD * (v + 1))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +184,13 @@ def word_table(counts: DataFrame, n: int, v: int, ends: int, model: bytes) -> Da
             score = []
             for w, c in zip(words, train):
                 if w == END:
-                    score.append(end / LOG10)
+                    score.append(0.0)
                     continue
                 p = spare + lattice.marginal(w)
                 if c:
                     whole = math.log((c - DISCOUNT) / words_n)
                     p = max(p, whole) + math.log1p(math.exp(-abs(p - whole)))
-                score.append((go_on + p) / LOG10)
+                score.append(p / LOG10)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array([int(c > 0) for c in train], pa.int64()),
                  pa.array([math.log10(c + BASE_ADD) - log_all for c in train], pa.float64()), pa.array(score, pa.float64())],
@@ -149,25 +209,46 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str =
                       F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
     n, v, ends = (all_[k] or 0 for k in ("n", "v", "ends"))
     table = stage(word_table(counts, n, v, ends, model))
-    common = (table.where(F.length("word") <= LONG).orderBy(F.desc("n"), "word").limit(FREQUENT)
-              .select("word", F.col("known").alias("k1"), F.col("base").alias("b1"), F.col("score").alias("s1")))
-    # sums of common words per row, and each rare word with its count
-    parts = (tokens.join(F.broadcast(common), "word", "left")
-             .groupBy("doc_id", "th", "held_out", F.when(F.col("k1").isNull(), F.col("word")).alias("rare"))
-             .agg(F.count("*").alias("t"), F.sum((F.col("word") == END).cast("long")).alias("rows"),
-                  F.sum("k1").alias("k1"), F.sum("b1").alias("b1"), F.sum("s1").alias("s1")))
+    common = table.where((F.length("word") <= LONG) & (F.col("word") != END)).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    end = table.where(F.col("word") == END).select("known", "base").first() or (0, 0.0)
+
+    lines = lines_of(docs, id_col, text_col)
+    known_lines = stage(lines.where(~held_out(F.col("doc_id"))).groupBy("lh").agg(F.count("*").alias("lc")))
+    line_n, line_v = known_lines.agg(F.coalesce(F.sum("lc"), F.lit(0)), F.count("*")).first()
+    # log10 chances: a word goes on or the line ends; a line follows or the text ends; a line is new
+    word_on, line_end = _two_ways(n - ends, line_n)
+    line_on, text_end = _two_ways(max(0, line_n - ends), ends)
+    new_line = math.log10(DISCOUNT * line_v / line_n) if line_n else 0.0
+
+    parts = split_sums(lines, common)
     # a sum's own key meets no word (it has a space) and spreads the sums over the partitions
-    parts = parts.withColumn("key", F.coalesce("rare", F.concat(F.lit(END), F.col("th").cast("string"))))
+    parts = parts.withColumn("key", F.coalesce("rare", F.concat(F.lit(END), F.col("lh").cast("string"), F.col("line_no").cast("string"))))
     full = parts.join(table.select(F.col("word").alias("key"), "known", "base", "score"), "key", "left")
 
     def total(name: str, common_sum: str):
-        return F.sum(F.when(F.col("rare").isNull(), F.col(common_sum)).otherwise(F.col("t") * F.col(name)))
-
-    sums = full.groupBy("doc_id", "th", "held_out").agg(
-        F.sum(F.when(F.col("rare").isNull(), F.col("rows")).otherwise(F.when(F.col("rare") == END, F.col("t")).otherwise(0))).alias("rows"),
-        F.sum("t").alias("t"), total("known", "k1").alias("k"), total("base", "b1").alias("b"), total("score", "s1").alias("s"))
-    # rows that repeat an id and a text were summed together
+        return F.sum(F.when(F.col("rare").isNull(), F.col(common_sum)).otherwise(F.col("t") * F.col(name))) / F.sum("lines")
+
+    # rows that repeat an id and a text were summed together: "lines" counts them
+    by_line = full.groupBy("doc_id", "th", "line_no", "lh").agg(
+        F.sum("lines").alias("rows"), (F.sum("t") / F.sum("lines")).alias("t"), total("known", "k1").alias("k"),
+        total("base", "b1").alias("b"), total("score", "s1").alias("s"))
+    by_line = by_line.join(known_lines, "lh", "left")
+    spelled = F.col("s") + F.col("t") * F.lit(word_on) + F.lit(line_end + new_line)
+    whole = F.log10((F.col("lc") - F.lit(DISCOUNT)) / F.lit(max(1, line_n)))
+    most = F.greatest(spelled, whole)
+    either = F.when(F.col("lc").isNull(), spelled).otherwise(
+        most + F.log10(F.pow(F.lit(10.0), spelled - most) + F.pow(F.lit(10.0), whole - most)))
+    sums = by_line.groupBy("doc_id", "th").agg(
+        F.max("rows").alias("rows"), F.count("*").alias("lines"), F.sum("t").alias("t"), F.sum("k").alias("k"), F.sum("b").alias("b"),
+        F.sum(either).alias("s"))
     return sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select(
-        "doc_id", "held_out", (F.col("t") / F.col("rows")).cast("long").alias("n_tokens"),
-        (F.col("k") / F.col("rows")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("b") / F.col("rows")).alias("base_score"), (F.col("s") / F.col("rows")).alias("score"))
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), (F.round("t") + 1).cast("long").alias("n_tokens"),
+        (F.round("k") + F.lit(end[0])).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("b") + F.lit(end[1])).alias("base_score"),
+        (F.col("s") + (F.col("lines") - 1) * F.lit(line_on) + F.lit(text_end)).alias("score"))
+
+
+def _two_ways(a: int, b: int) -> tuple[float, float]:
+    """log10 chances of two events seen a and b times."""
+    every = a + b + 2 * BASE_ADD
+    return math.log10((a + BASE_ADD) / every), math.log10((b + BASE_ADD) / every)
