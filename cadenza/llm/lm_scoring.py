@@ -60,10 +60,11 @@ class Lattice:
         self.bytes = {int(sp.id_to_piece(i)[1:-1], 16): logp[i] for i in ids if sp.is_byte(i)}
         self.pieces = {sp.id_to_piece(i): logp[i] for i in ids if not sp.is_byte(i)}
         self.longest = max(map(len, self.pieces))
+        self.starts = {p[:i] for p in self.pieces for i in range(1, len(p))}
 
     def marginal(self, word: str) -> float:
         """Natural log of the summed probability of all segmentations of the word with its leading mark."""
-        s, get = "▁" + word, self.pieces.get
+        s, get, starts = "▁" + word, self.pieces.get, self.starts
         n = len(s)
         into: list[list[float]] = [[] for _ in range(n + 1)]
         into[0].append(0.0)
@@ -75,11 +76,14 @@ class Lattice:
             here = top if len(paths) == 1 else top + math.log(sum(math.exp(p - top) for p in paths))
             into[i] = []
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = get(s[i:j])
+                part = s[i:j]
+                p = get(part)
                 if p is not None:
                     into[j].append(here + p)
                 elif j == i + 1:
-                    into[j].append(here + sum(self.bytes[b] for b in s[i].encode("utf-8", "replace")))
+                    into[j].append(here + sum(self.bytes[b] for b in part.encode("utf-8", "replace")))
+                if part not in starts:
+                    break
         top = max(into[n])
         return top + math.log(sum(math.exp(p - top) for p in into[n]))
 
@@ -199,6 +203,19 @@ def word_table(counts: DataFrame, n: int, v: int, ends: int, model: bytes) -> Da
     return counts.select("word", "c", "n").mapInArrow(scored, "word string, n long, known long, base double, score double")
 
 
+def common_words(table: DataFrame) -> list:
+    """(word, known, base, score) of the words above a count that at most FREQUENT words reach."""
+    short = table.where((F.length("word") <= LONG) & (F.col("word") != END)).withColumn("step", F.floor(F.log2("n") * 8))
+    steps = {r["step"]: r["count"] for r in short.groupBy("step").count().collect()}      # a few hundred numbers
+    least, total = max(steps, default=0) + 1, 0
+    for step in sorted(steps, reverse=True):
+        total += steps[step]
+        if total > FREQUENT:
+            break
+        least = step
+    return short.where(F.col("step") >= least).select("word", "known", "base", "score").collect()
+
+
 def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``."""
     with open(vocabulary, "rb") as f:
@@ -209,7 +226,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str =
                       F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
     n, v, ends = (all_[k] or 0 for k in ("n", "v", "ends"))
     table = stage(word_table(counts, n, v, ends, model))
-    common = table.where((F.length("word") <= LONG) & (F.col("word") != END)).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    common = common_words(table)
     end = table.where(F.col("word") == END).select("known", "base").first() or (0, 0.0)
 
     lines = lines_of(docs, id_col, text_col)
