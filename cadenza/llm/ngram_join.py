@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join with count-vector R-trees, exact at any size.
 
 A document's set is its distinct 5-word shingles (64-bit hashes). Each shingle
-belongs to one of ``group_count`` groups (more for larger sets; finer counts fold
-to coarser ones by sums); a document is the point of its group counts. The
+belongs to one of the set's groups (as many as shingles, in powers of two; finer
+counts fold to coarser ones by sums); a document is the point of its group counts. The
 overlap of two sets is at most the sum of the coordinate minima of their points,
 and for two tree nodes at most that sum over their boxes' upper corners, so an
 R-tree over points drops pairs and whole subtrees that cannot reach the threshold.
@@ -42,7 +42,7 @@ from cadenza.llm.wordhash import mix, shingle_hashes, text_batches
 
 WORDS = 5
 NUM, DEN = 4, 5                    # similarity 0.8
-LEAST_GROUPS, GROUP_SIZE = 128, 10     # groups: a power of two, about one for ten shingles
+LEAST_GROUPS = 64                     # groups: a power of two, at least one for each shingle
 BAND = 1.2501                         # sizes of similar sets differ by less
 BUCKET_BITS = 20
 COMMON_BUCKETS = 1 << 16           # buckets that count as common, at most; affects only the order
@@ -62,16 +62,21 @@ def prefix_length(n: int) -> int:
 
 
 def group_counts(s: np.ndarray) -> bytes:
-    """Counts by group, in one byte each where all fit, else in four; the groups are low bits of the hash."""
+    """Counts by group in four bits each where all fit, else in 32; the groups are low bits of the hash."""
     n = LEAST_GROUPS
-    while n * GROUP_SIZE < len(s):
+    while n < len(s):
         n *= 2
     counts = np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n)
-    return b"\1" + counts.astype("u1").tobytes() if counts.max() < 256 else b"\4" + counts.astype("<u4").tobytes()
+    if counts.max() < 16:
+        return b"\4" + (counts[0::2] | counts[1::2] << 4).astype("u1").tobytes()
+    return b"\x20" + counts.astype("<u4").tobytes()
 
 
 def unpacked(counts: bytes) -> np.ndarray:
-    return np.frombuffer(counts, dtype="u1" if counts[:1] == b"\1" else "<u4", offset=1).astype(np.int64)
+    if counts[:1] == b"\4":
+        two = np.frombuffer(counts, dtype="u1", offset=1)
+        return np.stack([two & 15, two >> 4], axis=1).ravel().astype(np.int32)
+    return np.frombuffer(counts, dtype="<u4", offset=1).astype(np.int32)
 
 
 def folded(points: list[np.ndarray]) -> np.ndarray:
@@ -275,15 +280,15 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
 
 
 def shared_cells(signed: DataFrame) -> DataFrame:
-    """(cell, node, n, weight, leader): cells with several nodes; of cells with the same members one, weight times."""
+    """(cell, node, n, weight): cells with several nodes; of cells with the same members one, weight times."""
     cells = signed.where("n_shingles > 0").select("node", F.explode("prefix").alias("cell"))
     several = stage(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
     shared = stage(cells.join(bounded_broadcast(several, MAX_BROADCAST_CELLS), "cell").distinct())
-    alike = ["n", "leader", "last", "x", "y"]
+    alike = ["n", "first", "last", "x", "y"]
     members = shared.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("node").alias("leader"), F.max("node").alias("last"),
+        F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"),
         F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("y")).where("n > 1")
-    one = members.groupBy(*alike).agg(F.min("cell").alias("cell"), F.count("*").alias("weight")).select("cell", "n", "weight", "leader")
+    one = members.groupBy(*alike).agg(F.min("cell").alias("cell"), F.count("*").alias("weight")).select("cell", "n", "weight")
     return stage(shared.join(bounded_broadcast(stage(one), MAX_BROADCAST_CELLS), "cell"))
 
 
@@ -304,15 +309,29 @@ def blocked(cells: DataFrame) -> DataFrame:
     return cells.select("cell", "node", "component", F.xxhash64("band", low, high).alias("part"), side.alias("side"))
 
 
+def _pairs(stars: DataFrame) -> DataFrame:
+    return stars.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+
+
 def linked_nodes(signed: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) of all nodes that are linked to another."""
     shared = shared_cells(signed)
     places = signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("p")).select("node", "p.*")
-    votes = shared.where("node <> leader").groupBy("node", "leader").agg(F.sum("weight").alias("votes"))
-    best = votes.groupBy("node").agg(F.max_by("leader", "votes").alias("leader")).toDF("b", "a").select("a", "b")
     points = stage(signed.select("node", "n_shingles", "counts")
                    .join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    links = stage(verified(stage(within_bound(best, points)), places, texts))
+    # leaders: nodes that share most with others, such as the text that many copies were made from
+    degrees = shared.groupBy("node").agg(F.sum(F.col("weight") * (F.col("n") - 1)).alias("degree"))
+    leaders = shared.join(degrees, "node").groupBy("cell").agg(F.max(F.struct("degree", "node"))["node"].alias("leader"))
+    shared = stage(shared.join(leaders, "cell"))
+    stars = shared.where("node <> leader").groupBy("node", "leader").agg(F.sum("weight").alias("votes"))
+    best = stars.groupBy("node").agg(F.max_by("leader", "votes").alias("leader"))
+    links = stage(verified(stage(within_bound(_pairs(best), points)), places, texts))
+    first = components(links)
+    # then against the other leaders, where that would join two components
+    side = first.toDF("leader", "lc")
+    others = (stars.join(first, "node", "left").join(side, "leader", "left")
+              .where("coalesce(component, node) <> coalesce(lc, leader)"))
+    links = stage(links.unionByName(verified(stage(within_bound(_pairs(others).distinct(), points)), places, texts)))
     first = components(links)
 
     placed = shared.join(first, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
