@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import bounded_broadcast, components, stage
+from cadenza.llm.url_filter import Level
 from cadenza.llm.wordhash import mix, shingle_hashes, text_batches
 
 WORDS = 5
@@ -48,8 +49,8 @@ BUCKET_BITS = 20
 COMMON_BUCKETS = 1 << 16           # buckets that count as common, at most; affects only the order
 BLOCK = 1024
 LEAF, FANOUT = 32, 8
-MAX_BROADCAST_IDS = 2_000_000
-MAX_BROADCAST_CELLS = 4_000_000
+MAX_BROADCAST_IDS = 500_000
+MAX_BLOOM_CELLS = 30_000_000        # a Bloom filter of 45 MB
 
 
 def needed_overlap(a, b):
@@ -154,7 +155,10 @@ def within_bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
                 keep.append(need <= min(m, n) and int(np.minimum(*folded([unpacked(x), unpacked(y)])).sum()) >= need)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = points.toDF("a", "m", "x"), points.toDF("b", "n", "y")
+    sizes = points.select("node", "n_shingles")
+    small, large = F.least("m", "n"), F.greatest("m", "n")
+    pairs = (pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b").where(small * DEN >= large * NUM))
+    left, right = (points.select(F.col("node").alias(k), F.col("counts").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(bounded, "a long, b long")
 
 
@@ -282,14 +286,18 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
 def shared_cells(signed: DataFrame) -> DataFrame:
     """(cell, node, n, weight): cells with several nodes; of cells with the same members one, weight times."""
     cells = signed.where("n_shingles > 0").select("node", F.explode("prefix").alias("cell"))
-    several = stage(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"))
-    shared = stage(cells.join(bounded_broadcast(several, MAX_BROADCAST_CELLS), "cell").distinct())
+    several = stage(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cell").alias("key")))
+    n = several.count()
+    if 0 < n <= MAX_BLOOM_CELLS:      # most cells have one node; their rows go before the join's shuffle
+        bloom = Level(several, 0, n)
+        cells = cells.where(bloom.holds(F.col("cell"), bloom.array(signed.sparkSession)))
+    shared = stage(cells.join(several, F.col("cell") == F.col("key")).select("cell", "node").distinct())
     alike = ["n", "first", "last", "x", "y"]
     members = shared.groupBy("cell").agg(
         F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"),
         F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("y")).where("n > 1")
     one = members.groupBy(*alike).agg(F.min("cell").alias("cell"), F.count("*").alias("weight")).select("cell", "n", "weight")
-    return stage(shared.join(bounded_broadcast(stage(one), MAX_BROADCAST_CELLS), "cell"))
+    return stage(shared.join(bounded_broadcast(stage(one), MAX_BROADCAST_IDS), "cell"))
 
 
 def blocked(cells: DataFrame) -> DataFrame:
@@ -299,8 +307,11 @@ def blocked(cells: DataFrame) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(BAND))).cast("int")
     cells = cells.select("cell", "node", "component", F.explode(F.array(band, band + 1)).alias("band"))
-    bands = (cells.groupBy("cell", "band").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-             .where("x < y").drop("x", "y"))
+    alike = ["band", "n", "x", "y", "p", "q"]
+    bands = (cells.groupBy("cell", "band").agg(
+        F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("p"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("q")).where("x < y")
+        .groupBy(*alike).agg(F.min("cell").alias("cell")).select("cell", "band", "n"))          # of bands with the same members one
     cells = cells.join(bands, ["cell", "band"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     cells = cells.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
