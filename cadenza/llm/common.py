@@ -51,27 +51,21 @@ def components(edges: DataFrame) -> DataFrame:
     """
     cur = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                 .where("a < b").distinct())
-    roots = None
+    hooks = []
     while not cur.isEmpty():
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("node"), F.least("a", "m").alias("parent"))
-        for _ in range(2):
-            hook = stage(hook)
-            up = hook.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
-            hook = hook.join(up, "parent").select("node", F.col("top").alias("parent"))
-        hook = stage(hook)
-        if roots is None:
-            roots = hook.select("node", F.col("parent").alias("component"))
-        else:
-            up = hook.select(F.col("node").alias("component"), F.col("parent").alias("top"))
-            roots = roots.join(up, "component", "left").select(
-                "node", F.coalesce("top", "component").alias("component"))
-        roots = stage(roots)
-        left = hook.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
-        right = hook.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+        hook = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            F.col("a").alias("node"), F.least("a", "m").alias("parent")))
+        up = hook.toDF("parent", "top")
+        twice = hook.join(up, "parent").select("node", F.col("top").alias("parent"))
+        hooks.append(stage(twice.join(twice.toDF("parent", "top"), "parent").select("node", F.col("top").alias("parent"))))
+        left, right = hooks[-1].toDF("a", "pa"), hooks[-1].toDF("b", "pb")
         cur = stage(cur.join(left, "a").join(right, "b").where("pa <> pb")
                     .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    if roots is None:
-        return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return roots
+    if not hooks:
+        return cur.toDF("node", "component")
+    roots = hooks[0].toDF("node", "component")
+    for hook in hooks[1:]:
+        roots = roots.join(hook.toDF("component", "top"), "component", "left").select(
+            "node", F.coalesce("top", "component").alias("component"))
+    return stage(roots)

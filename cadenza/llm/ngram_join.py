@@ -16,7 +16,8 @@ that have a shingle among their first, cut into bands of sizes that can be simil
 Cells beyond BLOCK sets are dealt to tasks as pairs of blocks.
 
 Steps: equal sets collapse to one node, cells with the same members to one cell;
-every node is verified against the leader it shares most cells with, which joins
+every node is verified against the leader it shares most cells with (leaders are
+the nodes that share most, such as the text that copies were made from), which joins
 the large groups of near copies; nodes that are then in one component need no
 more pairs, all other pairs of a cell go through its R-tree; what survives is
 verified on the whole sets. No link between different sets is missed, and no
@@ -338,13 +339,6 @@ def linked_nodes(signed: DataFrame, texts: DataFrame) -> DataFrame:
     best = stars.groupBy("node").agg(F.max_by("leader", "votes").alias("leader"))
     links = stage(verified(stage(within_bound(_pairs(best), points)), places, texts))
     first = components(links)
-    # then against the other leaders, where that would join two components
-    side = first.toDF("leader", "lc")
-    others = (stars.join(first, "node", "left").join(side, "leader", "left")
-              .where("coalesce(component, node) <> coalesce(lc, leader)"))
-    links = stage(links.unionByName(verified(stage(within_bound(_pairs(others).distinct(), points)), places, texts)))
-    first = components(links)
-
     placed = shared.join(first, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
     placed = stage(placed.join(points.select("node", "n_shingles"), "node"))
     candidates = stage(cell_pairs(blocked(placed).join(points, "node")))
