@@ -31,6 +31,7 @@ empty table gives no rows; only the id and text columns are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,21 +65,21 @@ def prefix_length(n: int) -> int:
 
 
 def group_counts(s: np.ndarray) -> bytes:
-    """Counts by group in four bits each where all fit, else in 32; the groups are low bits of the hash."""
+    """Counts by group in four bits each where all fit, else in 32, compressed; the groups are low bits of the hash."""
     n = LEAST_GROUPS
     while n < len(s):
         n *= 2
     counts = np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n)
     if counts.max() < 16:
-        return b"\4" + (counts[0::2] | counts[1::2] << 4).astype("u1").tobytes()
-    return b"\x20" + counts.astype("<u4").tobytes()
+        return b"\4" + zlib.compress((counts[0::2] | counts[1::2] << 4).astype("u1").tobytes(), 1)
+    return b"\x20" + zlib.compress(counts.astype("<u4").tobytes(), 1)
 
 
 def unpacked(counts: bytes) -> np.ndarray:
     if counts[:1] == b"\4":
-        two = np.frombuffer(counts, dtype="u1", offset=1)
+        two = np.frombuffer(zlib.decompress(counts[1:]), dtype="u1")
         return np.stack([two & 15, two >> 4], axis=1).ravel().astype(np.int32)
-    return np.frombuffer(counts, dtype="<u4", offset=1).astype(np.int32)
+    return np.frombuffer(zlib.decompress(counts[1:]), dtype="<u4").astype(np.int32)
 
 
 def folded(points: list[np.ndarray]) -> np.ndarray:
