@@ -45,8 +45,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns (node, component) for every node that has an edge to another node;
     component is the smallest node of its group. Each round hooks every node on
-    its smallest neighbour, halves the pointers, and contracts the graph, so a
-    star of any size takes two rounds and no neighbour list is ever gathered.
+    its smallest neighbour, follows the pointers to the trees' roots by doubling,
+    and contracts the trees, so stars and chains of any size take a few rounds
+    and no neighbour list is ever gathered.
     Nulls and self-loops are dropped; an empty input gives an empty result.
     """
     cur = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -56,9 +57,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("node"), F.least("a", "m").alias("parent")))
-        up = hook.toDF("parent", "top")
-        twice = hook.join(up, "parent").select("node", F.col("top").alias("parent"))
-        hooks.append(stage(twice.join(twice.toDF("parent", "top"), "parent").select("node", F.col("top").alias("parent"))))
+        while True:       # every node's pointer to its tree's root, twice as far each time
+            jumped = stage(hook.join(hook.toDF("parent", "top"), "parent").select(
+                "node", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved")))
+            hook = jumped.select("node", "parent")
+            if jumped.where("moved").isEmpty():
+                break
+        hooks.append(hook)
         left, right = hooks[-1].toDF("a", "pa"), hooks[-1].toDF("b", "pb")
         cur = stage(cur.join(left, "a").join(right, "b").where("pa <> pb")
                     .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
