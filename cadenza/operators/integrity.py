@@ -17,9 +17,14 @@ from cadenza.operators.scan import earlier_count
 from cadenza.sources.schemas import ForeignKey
 
 
-def key_violations(df: DataFrame, keys, out: str = "n") -> DataFrame:
-    """PRIMARY KEY / UNIQUE: key values held by more than one row, with their row count."""
+def key_violations(df: DataFrame, keys, out: str = "n", nulls_pass: bool = False) -> DataFrame:
+    """PRIMARY KEY / UNIQUE: key values held by more than one row, with their row count.
+
+    ``nulls_pass`` is for UNIQUE, where a key with a NULL equals no other.
+    """
     keys = list(keys)
+    if nulls_pass:
+        df = df.dropna(subset=keys)
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
             .filter(F.col(out) > 1))
 

@@ -53,11 +53,12 @@ class ConfigMissing(LookupError):
 
 
 def config_value(system_config: DataFrame, key: str) -> int:
-    """SELECT config_value FROM system_config WHERE config_type = key; missing is an error."""
-    rows = (system_config.filter(F.col("config_type") == key).select("config_value").limit(2).collect())
-    if not rows or rows[0][0] is None:
-        raise ConfigMissing(f"Configuration for {key} is missing in system_config.")
-    return int(rows[0][0])
+    """The number that ``system_config`` holds for ``key``; none, null or several rows are errors."""
+    found = (system_config.filter(F.col("config_type") == key)
+             .agg(F.count(F.lit(1)).alias("n"), F.max("config_value").alias("value")).first())
+    if found["n"] != 1 or found["value"] is None:
+        raise ConfigMissing(f"system_config needs one value for {key!r}; it has {found['n']} rows")
+    return int(found["value"])
 
 
 # --------------------------------------------------------------------------- R1 is reports.sibling_closure
@@ -100,15 +101,15 @@ def stock_after(instrument: DataFrame, admitted: DataFrame) -> DataFrame:
             .join(taken, "instrument_id", "left")
             .select("instrument_id", "available_stock",
                     F.coalesce("rented", F.lit(0)).alias("rented"),
-                    F.greatest(F.col("available_stock") - F.coalesce("rented", F.lit(0)), F.lit(0))
-                    .cast("int").alias("stock_after")))
+                    (F.col("available_stock") - F.coalesce("rented", F.lit(0))).cast("int").alias("stock_after")))
 
 
 # --------------------------------------------------------------------------- R2 active rentals
 
 def _active(expiry: str, as_of: _dt.date) -> Column:
     # lease_expiry_time >= CURRENT_DATE: the date compares as midnight of as_of
-    return F.col(expiry) >= F.lit(_dt.datetime.combine(as_of, _dt.time())).cast("timestamp_ntz")
+    # a DATE literal, so neither the session's nor the driver's time zone moves the edge
+    return F.col(expiry) >= F.lit(as_of).cast("timestamp_ntz")
 
 
 def active_counts(existing: DataFrame, as_of: _dt.date) -> DataFrame:

@@ -8,7 +8,8 @@ aggregate; only the count of offending keys reaches the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +23,16 @@ def assert_unique(df: DataFrame, keys: list[str] | tuple[str, ...], what: str =
         raise KeyViolation(f"{what} {tuple(keys)} is not unique")
 
 
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet data at ``path``, or None if the path does not exist; other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def write_snapshot(df: DataFrame, path: str, keys: list[str] | tuple[str, ...] | None = None,
                    partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Check ``keys`` then write ``df`` as Parquet (append mode mirrors INSERT ... SELECT).
@@ -32,10 +43,9 @@ def write_snapshot(df: DataFrame, path: str, keys: list[str] | tuple[str, ...] |
     if keys:
         check = df.select(*keys)
         if mode == "append":
-            try:
-                check = check.unionByName(df.sparkSession.read.parquet(path).select(*keys))
-            except Exception:  # noqa: BLE001 - nothing written at path yet
-                pass
+            there = read_if_present(df.sparkSession, path)
+            if there is not None:
+                check = check.unionByName(there.select(*keys))
         assert_unique(check, keys)
     w = df.write.mode(mode)
     if partition_by:

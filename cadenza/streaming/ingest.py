@@ -19,20 +19,16 @@ ordered by batch id.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators import rules
+from cadenza.sources.sinks import read_if_present
 
 
 def _latest_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if not os.path.isdir(path) and "://" not in path:
-        return None
-    try:
-        snap = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no snapshot written yet
+    snap = read_if_present(spark, path)
+    if snap is None:
         return None
     earlier = snap.filter(F.col("batch_id") < batch_id)
     last = earlier.agg(F.max("batch_id")).first()[0]
@@ -49,12 +45,10 @@ def admit_batch(spark: SparkSession, batch: DataFrame, batch_id: int, instrument
         stock = instruments.select("instrument_id", "available_stock")
     history = None
     dec_path = f"{out}/decisions"
-    if os.path.isdir(dec_path) or "://" in dec_path:
-        try:
-            history = (spark.read.parquet(dec_path).filter((F.col("batch_id") < batch_id) & F.col("accepted"))
-                       .select("student_id", "lease_expiry_time"))
-        except Exception:  # noqa: BLE001 - nothing accepted yet
-            history = None
+    decisions = read_if_present(spark, dec_path)
+    if decisions is not None:
+        history = (decisions.filter((F.col("batch_id") < batch_id) & F.col("accepted"))
+                   .select("student_id", "lease_expiry_time"))
     prior = existing.select("student_id", "lease_expiry_time") if existing is not None else None
     if history is not None:
         prior = history if prior is None else prior.unionByName(history)

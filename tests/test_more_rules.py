@@ -56,3 +56,42 @@ def test_empty_batches(fx, spark):
         fx["lesson"], fx["individual_lesson"], fx["group_lesson"], fx["ensembles_lesson"],
         fx["student_lessons"].limit(0), fx["student"], fx["person"], fx["person_email"], fx["email"],
         fx["lesson_price_history"])).count() == 0
+
+
+def test_active_edge_ignores_time_zones(spark, monkeypatch):
+    """The first instant of the day is active and the last of the day before is not, whatever zone the driver is in."""
+    import datetime as dt
+    import time
+
+    from cadenza.operators import rules
+    rows = [(1, dt.datetime(2024, 5, 31, 23, 0)), (2, dt.datetime(2024, 6, 1, 0, 0)), (3, dt.datetime(2024, 6, 1, 3, 0))]
+    ntz = spark.createDataFrame([(i, t.isoformat()) for i, t in rows], "student_id long, t string").selectExpr(
+        "student_id", "cast(t as timestamp_ntz) lease_expiry_time")
+    for zone in ("Europe/Stockholm", "America/New_York"):
+        monkeypatch.setenv("TZ", zone)
+        time.tzset()
+        got = {r["student_id"] for r in rules.active_counts(ntz, dt.date(2024, 6, 1)).collect()}
+        assert got == {2, 3}
+    monkeypatch.undo()
+    time.tzset()
+
+
+def test_unique_lets_nulls_pass_and_stock_may_be_negative(spark):
+    from cadenza.operators import integrity, rules
+    df = spark.createDataFrame([(None,), (None,), (1,), (1,)], "k int")
+    assert [r["k"] for r in integrity.key_violations(df, ["k"], nulls_pass=True).collect()] == [1]
+    assert integrity.key_violations(df, ["k"]).count() == 2
+    stock = spark.createDataFrame([(1, -3)], "instrument_id long, available_stock int")
+    none = spark.createDataFrame([], "instrument_id long, accepted boolean")
+    assert rules.stock_after(stock, none).first()["stock_after"] == -3
+
+
+def test_append_with_unreadable_keys_raises(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from cadenza.sources.sinks import write_snapshot
+    path = f"file://{tmp_path}/t"
+    write_snapshot(spark.createDataFrame([(1,)], "other int"), path, mode="append")
+    with pytest.raises(AnalysisException):
+        write_snapshot(spark.createDataFrame([(1,)], "k int"), path, keys=["k"], mode="append")
