@@ -22,15 +22,13 @@ from __future__ import annotations
 
 import datetime as _dt
 import logging
-import uuid as _uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import plus_months, to_date
 from cadenza.session import ensure_checkpoint_dir
-from cadenza.operators.scan import bucket_edges, earlier_count, range_buckets
+from cadenza.operators.scan import bucket_edges, earlier_count, earlier_counts, range_buckets
 
 log = logging.getLogger(__name__)
 
@@ -264,135 +262,86 @@ def rental_admission_statement(batch: DataFrame, instrument: DataFrame, order: l
                       *[F.col(f"_first.{c}").alias(f"failed_{c}") for c in order])
 
 
-class NotConverged(RuntimeError):
-    pass
-
-
 def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
                          existing: DataFrame | None = None, as_of=None, limit: int = DEFAULT_MAX_ACTIVE,
-                         max_months: int = DEFAULT_MAX_MONTHS, max_rounds: int = 500,
-                         sparse_below: float = 0.01, sparse_min_rows: int = 5_000_000) -> DataFrame:
+                         max_months: int = DEFAULT_MAX_MONTHS) -> DataFrame:
     """Row mode with all three rental triggers.
 
     Acceptance of a row depends on accepted earlier rows of its student *and*
     of its instrument, so no single window decides it. Row i depends only on
     earlier rows, so the system has exactly one solution, the sequential run.
-    We iterate to it: start from "every row that passes the duration rule is
-    accepted", then each round recounts per student (active accepted rows
-    before it) and, using that fresh result, per instrument (accepted rows
-    before it). A round that changes nothing is the fixed point; each round
-    settles at least the earliest unsettled row, and in practice many.
-
-    A row's counts can only move when an earlier row of its student or its
-    instrument changed. Once a round changes at most ``sparse_below`` of the
-    rows, later passes recount only the students / instruments that hold a
-    changed row and merge their new flags back by row key, instead of
-    re-shuffling the whole batch. Below ``sparse_min_rows`` rows a full pass is
-    cheaper than the extra jobs of a sparse one, so small batches stay full.
+
+    A row is open until bounds settle it. Each open row carries what its student
+    and its instrument have left after the accepted rows before it that are
+    settled. It is rejected once either has nothing left, and accepted once even
+    all open rows before it could not use up either. Settled rows leave the
+    working table, which holds keys, order and counts only; rows that fail the
+    duration rule never enter it. The earliest open row settles in every round,
+    so the loop ends by itself; long dependency chains cost rounds over the few
+    rows still open. Afterwards one exact count per layout gives the reasons.
 
     The two range layouts (by student, by instrument) are sampled and pinned
-    once, with their boundary keys; every pass ends in a checkpoint, and only
-    changed-row counts reach the driver. ``order`` must be a unique row key.
-    Raises if ``max_rounds`` is hit.
+    once, with their boundary keys; a round ends in a checkpoint, and only the
+    number of open rows reaches the driver. ``order`` must be a unique row key.
+    Rows without a student (or instrument) count as one student (instrument);
+    a lease without a start or an end passes the duration rule.
     """
     day = to_date(as_of)
-    ea = active_counts(existing, day) if existing is not None else None
-    stock = instrument.select("instrument_id", "available_stock")
-    cur = (batch.withColumn("_r3", duration_ok("rental_start_time", "lease_expiry_time", max_months))
-           .withColumn("_is_active", _active("lease_expiry_time", day))
-           .join(stock, "instrument_id", "left"))
-    if ea is not None:
-        cur = cur.join(ea, "student_id", "left")
+    ensure_checkpoint_dir(batch.sparkSession)
+    pinned = batch.withColumn("_rid", F.monotonically_increasing_id()).checkpoint()
+    rows = pinned.select(
+        "_rid", "student_id", "instrument_id", *[c for c in order if c not in ("student_id", "instrument_id")],
+        F.coalesce(duration_ok("rental_start_time", "lease_expiry_time", max_months), F.lit(True)).alias("_r3"),
+        F.coalesce(_active("lease_expiry_time", day), F.lit(False)).alias("_is_active"))
+    rows = (rows.join(instrument.select("instrument_id", F.col("available_stock").cast("long").alias("_stock")),
+                      "instrument_id", "left")
+            .withColumn("_stock", F.coalesce("_stock", F.lit(0))))
+    if existing is None:
+        rows = rows.withColumn("_places", F.lit(limit).cast("long"))
     else:
-        cur = cur.withColumn("_existing_active", F.lit(None).cast("long"))
-    cur = (cur.withColumn("_existing_active", F.coalesce("_existing_active", F.lit(0)))
-           .withColumn("_s_ok", F.lit(True)).withColumn("_i_ok", F.lit(True))
-           .withColumn("_acc", F.col("_r3")))
-    # a row id, fixed by the checkpoint below, keys the sparse merges (one column, not the order tuple)
-    cur = cur.withColumn("_rid", F.monotonically_increasing_id())
-    cur = range_buckets(cur, ["student_id"], order, "_b_student")
-    cur = range_buckets(cur, ["instrument_id"], order, "_b_instrument")
+        rows = (rows.join(active_counts(existing, day), "student_id", "left")
+                .withColumn("_places", F.lit(limit) - F.coalesce("_existing_active", F.lit(0)))
+                .drop("_existing_active"))
+    rows = range_buckets(rows, ["student_id"], order, "_b_student")
+    rows = range_buckets(rows, ["instrument_id"], order, "_b_instrument")
     # each layout's boundary keys are fixed: compute them once (at most two rows per range)
-    edges_s = bucket_edges(cur, ["student_id"], "_b_student").checkpoint(eager=True)
-    edges_i = bucket_edges(cur, ["instrument_id"], "_b_instrument").checkpoint(eager=True)
-    n_rows = cur.count()
-    accept = F.col("_r3") & F.col("_s_ok") & F.col("_i_ok")
-    passes = {
-        "student": ("student_id", "_b_student", edges_s, F.col("_acc") & F.col("_is_active"), "_s_ok",
-                    lambda n: (F.col("_existing_active") + n) < F.lit(limit)),
-        "instrument": ("instrument_id", "_b_instrument", edges_i, F.col("_acc"), "_i_ok",
-                       lambda n: F.coalesce(n < F.col("available_stock"), F.lit(False))),
-    }
-
-    # Sparse passes merge a few changed rows back into the whole batch. They are
-    # materialised as Parquet tables in the checkpoint folder rather than with
-    # checkpoint(): a checkpointed plan keeps its history, and merging a table
-    # with updates derived from itself made planning time grow with every pass.
-    stage_root = f"{ensure_checkpoint_dir(batch.sparkSession)}/admission-{_uuid.uuid4().hex}"
-    staged: list[tuple[str, DataFrame]] = []
-
-    def _stage(df: DataFrame) -> DataFrame:
-        path = f"{stage_root}/{len(staged)}"
-        df.write.parquet(path)
-        staged.append((path, df))
-        return df.sparkSession.read.parquet(path)
-
-    def _release(keep: str | None) -> None:
-        # empty every staged table the result does not read (reclaims the space)
-        for path, df in staged:
-            if path != keep:
-                df.limit(0).write.mode("overwrite").parquet(path)
-
-    def run_pass(cur: DataFrame, which: str, dirty: DataFrame | None):
-        key, bucket, edges, flag, ok_col, ok = passes[which]
-        sub = cur if dirty is None else cur.join(dirty, key, "left_semi")
-        r = earlier_count(sub, [key], order, flag=flag, out="_n", bucket=bucket, edges=edges)
-        r = (r.withColumn(ok_col, ok(F.col("_n"))).drop("_n")
-             .withColumn("_chg", accept != F.col("_acc")).withColumn("_acc", accept))
-        if dirty is None:
-            new = r.checkpoint(eager=True)
-            last_stage[0] = None
-            changed = new.filter("_chg").select("student_id", "instrument_id")
-            return new.drop("_chg"), changed, changed.count()
-        upd = _stage(r.select(F.col("_rid").alias("_u_rid"), F.col(ok_col).alias("_u_ok"),
-                              F.col("_acc").alias("_u_acc"), "_chg", "student_id", "instrument_id"))
-        new = (cur.join(upd.drop("_chg", "student_id", "instrument_id"), F.col("_rid") == F.col("_u_rid"), "left")
-               .withColumn(ok_col, F.coalesce("_u_ok", ok_col))
-               .withColumn("_acc", F.coalesce("_u_acc", "_acc"))
-               .drop("_u_ok", "_u_acc", "_u_rid"))
-        new = _stage(new)
-        last_stage[0] = staged[-1][0]
-        changed = upd.filter("_chg").select("student_id", "instrument_id")
-        return new, changed, changed.count()
-
-    budget = sparse_below * n_rows if n_rows >= sparse_min_rows else -1
-    last_stage: list[str | None] = [None]
-    chg_a = chg_b = None
-    n_a = n_b = None
-    for rnd in range(max_rounds):
-        # student pass: students holding a row changed since their last recount (or all)
-        dirty_s = None
-        if rnd > 0 and n_a + n_b <= budget:
-            dirty_s = chg_a.unionByName(chg_b).select("student_id").distinct().checkpoint(eager=True)
-        cur, chg_a, n_a = run_pass(cur, "student", dirty_s)
-        # instrument pass: instruments holding a row changed since their last recount (or all)
-        dirty_i = None
-        if rnd > 0 and n_a + n_b <= budget:
-            dirty_i = chg_a.unionByName(chg_b).select("instrument_id").distinct().checkpoint(eager=True)
-        cur, chg_b, n_b = run_pass(cur, "instrument", dirty_i)
-        log.info("row-mode admission: round %d changed %d rows (%s)", rnd + 1, n_a + n_b,
-                 "sparse" if dirty_s is not None else "full")
-        if rnd + 1 == 50:
-            log.warning("row-mode admission still changing after 50 rounds (%d rows): long dependency chains",
-                        n_a + n_b)
-        if n_a + n_b == 0:
-            _release(last_stage[0])
-            reason = (F.when(~F.col("_s_ok"), F.lit(R_ACTIVE)).when(~F.col("_i_ok"), F.lit(R_STOCK))
-                      .when(~F.col("_r3"), F.lit(R_DURATION)))
-            return (cur.withColumn("reason", reason).withColumnRenamed("_acc", "accepted")
-                    .drop("_r3", "_is_active", "_s_ok", "_i_ok", "_existing_active", "available_stock",
-                          "_b_student", "_b_instrument", "_rid"))
-    raise NotConverged(f"row-mode admission did not settle in {max_rounds} rounds")
+    by_student = {"keys": ["student_id"], "order": order, "bucket": "_b_student",
+                  "edges": bucket_edges(rows, ["student_id"], "_b_student").checkpoint()}
+    by_instrument = {"keys": ["instrument_id"], "order": order, "bucket": "_b_instrument",
+                     "edges": bucket_edges(rows, ["instrument_id"], "_b_instrument").checkpoint()}
+
+    # _new: accepted in the last round, still to be taken off what later rows have left
+    work = rows.filter("_r3").drop("_r3").withColumn("_new", F.lit(False))
+    accepted = rows.select("_rid").limit(0)
+    rnd = 0
+    while True:
+        rnd += 1
+        active, is_open = F.col("_is_active"), ~F.col("_new")
+        work = (earlier_counts(work, flags={"_taken": F.col("_new") & active, "_maybe": is_open & active}, **by_student)
+                .withColumn("_places", F.col("_places") - F.col("_taken"))
+                .filter(F.col("_new") | (F.col("_places") > 0))
+                .withColumn("_sure", F.col("_maybe") < F.col("_places")).drop("_taken", "_maybe"))
+        work = (earlier_counts(work, flags={"_taken": F.col("_new"), "_maybe": is_open}, **by_instrument)
+                .withColumn("_stock", F.col("_stock") - F.col("_taken"))
+                .filter(is_open & (F.col("_stock") > 0))
+                .withColumn("_new", F.col("_sure") & (F.col("_maybe") < F.col("_stock")))
+                .drop("_taken", "_maybe", "_sure").checkpoint())
+        accepted = accepted.unionByName(work.filter("_new").select("_rid").checkpoint())
+        n_open = work.filter(~F.col("_new")).count()
+        log.info("row-mode admission: %d rows open after round %d", n_open, rnd)
+        if n_open == 0:
+            break
+
+    # _places and _stock are still those before the batch here, so these counts decide exactly
+    rows = (rows.join(accepted.withColumn("accepted", F.lit(True)), "_rid", "left")
+            .withColumn("accepted", F.coalesce("accepted", F.lit(False))))
+    rows = earlier_count(rows, flag=F.col("accepted") & F.col("_is_active"), out="_act_before", **by_student)
+    rows = earlier_count(rows, flag="accepted", out="_ins_before", **by_instrument)
+    reason = (F.when(F.col("_act_before") >= F.col("_places"), F.lit(R_ACTIVE))
+              .when(F.col("_ins_before") >= F.col("_stock"), F.lit(R_STOCK))
+              .when(~F.col("_r3"), F.lit(R_DURATION)))
+    return pinned.drop("accepted", "reason").join(rows.select("_rid", "accepted", reason.alias("reason")),
+                                                  "_rid").drop("_rid")
 
 
 def rental_update_check(existing: DataFrame, updates: DataFrame, as_of=None, limit: int = DEFAULT_MAX_ACTIVE,

@@ -96,6 +96,12 @@ def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
     without it the layout is sampled and pinned here. ``edges`` may pass in
     ``bucket_edges`` of that layout when it is reused across calls.
     """
+    return earlier_counts(df, keys, order, {out: F.lit(True) if flag is None else flag}, inclusive, bucket, edges)
+
+
+def earlier_counts(df: DataFrame, keys, order, flags: dict[str, Column | str], inclusive: bool = False,
+                   bucket: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """``earlier_count`` of several flags in one pass: ``flags`` maps each new column to what it counts."""
     keys, order = list(keys), list(order)
     added = []
     if not keys:
@@ -105,13 +111,14 @@ def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
         df = range_buckets(df, keys, order, BUCKET)
         bucket = BUCKET
         added.append(BUCKET)
-    f = F.lit(1) if flag is None else F.coalesce((F.col(flag) if isinstance(flag, str) else flag).cast("int"),
-                                                 F.lit(0))
-    d = df.withColumn(FLAG, f.cast("long"))
+    outs = list(flags)
+    n = range(len(outs))
+    d = df.withColumns({f"{FLAG}_{i}": F.coalesce((F.col(f) if isinstance(f, str) else f).cast("int"), F.lit(0))
+                       .cast("long") for i, f in enumerate(flags.values())})
 
     # 1. count inside each (bucket, key): a window group never exceeds one range
     w = Window.partitionBy(bucket, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    main = d.withColumn(LOC, F.coalesce(F.sum(FLAG).over(w), F.lit(0)))
+    main = d.withColumns({f"{LOC}_{i}": F.coalesce(F.sum(f"{FLAG}_{i}").over(w), F.lit(0)) for i in n})
 
     # 2. first and last key of every bucket: fixed by the layout, so reusable across calls
     if edges is None:
@@ -120,15 +127,16 @@ def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
     # 3. per-bucket totals of the edge keys, then the offset of each spanning key's first run
     on_edge = (F.col(bucket) == F.col("_e_b")) & _eq(keys, "_e_")
     tot = (d.join(F.broadcast(edges), on_edge, "left_semi")
-           .groupBy(bucket, *keys).agg(F.sum(FLAG).alias("_tot")))
+           .groupBy(bucket, *keys).agg(*[F.sum(f"{FLAG}_{i}").alias(f"_tot_{i}") for i in n]))
     w2 = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (tot.withColumn("_off", F.coalesce(F.sum("_tot").over(w2), F.lit(0)))
-               .filter(F.col("_off") > 0)
-               .select(F.col(bucket).alias("_o_b"), *[F.col(c).alias(f"_o_{c}") for c in keys], "_off"))
+    offsets = (tot.withColumns({f"_off_{i}": F.coalesce(F.sum(f"_tot_{i}").over(w2), F.lit(0)) for i in n})
+               .filter(reduce(lambda a, b: a | b, [F.col(f"_off_{i}") > 0 for i in n]))
+               .select(F.col(bucket).alias("_o_b"), *[F.col(c).alias(f"_o_{c}") for c in keys],
+                       *[f"_off_{i}" for i in n]))
 
-    total = F.col(LOC) + F.coalesce(F.col("_off"), F.lit(0))
-    if inclusive:
-        total = total + F.col(FLAG)
+    total = {out: F.col(f"{LOC}_{i}") + F.coalesce(F.col(f"_off_{i}"), F.lit(0))
+             + (F.col(f"{FLAG}_{i}") if inclusive else F.lit(0)) for i, out in enumerate(outs)}
     return (main.join(F.broadcast(offsets), (F.col(bucket) == F.col("_o_b")) & _eq(keys, "_o_"), "left")
-            .withColumn(out, total)
-            .drop(LOC, FLAG, "_o_b", "_off", *[f"_o_{c}" for c in keys], *added))
+            .withColumns(total)
+            .drop("_o_b", *[f"_o_{c}" for c in keys], *added,
+                  *[f"{p}_{i}" for p in (LOC, FLAG, "_off") for i in n]))

@@ -67,12 +67,12 @@ rental AS (
 """
 
 
-def with_domain(body: str) -> str:
-    return "WITH " + DOMAIN_CTES.strip() + "\n" + body.strip()
+def with_domain(body: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + DOMAIN_CTES.strip() + "\n" + body.strip()
 
 
 ORACLE: dict[str, str] = {}
 
 
-def register(key: str, body: str, domain: bool = True) -> None:
-    ORACLE[key] = with_domain(body) if domain else body.strip()
+def register(key: str, body: str, domain: bool = True, recursive: bool = False) -> None:
+    ORACLE[key] = with_domain(body, recursive) if domain else body.strip()

@@ -100,17 +100,39 @@ def _sequential_admission(rows, stock, existing, limit, months):
     return out
 
 
-@pytest.mark.parametrize("seed,sparse", [(4, 0.01), (5, 0.01), (15, 1.0), (16, 1.0)])
-def test_rental_admission_row_matches_sequential(spark, seed, sparse):
+@pytest.mark.parametrize("seed", [4, 5, 15, 16])
+def test_rental_admission_row_matches_sequential(spark, seed):
     rnd = random.Random(seed)
     rows, stock, existing, inst, ex, batch = _frames(spark, rnd, 80)
     exp = _sequential_admission(rows, stock, existing, 2, 12)
-    # sparse=1.0 recounts only keys with changed rows from the second round on
-    got = rules.rental_admission_row(batch, inst, ["seq"], existing=ex, as_of=AS_OF, limit=2, max_months=12,
-                                     sparse_below=sparse, sparse_min_rows=0)
+    got = rules.rental_admission_row(batch, inst, ["seq"], existing=ex, as_of=AS_OF, limit=2, max_months=12)
     assert {r.seq: r.reason for r in got.collect()} == exp
 
 
+def test_rental_admission_row_null_student_and_empty_batch(spark):
+    start, expiry = dt.datetime(2024, 1, 1), dt.datetime(2024, 7, 1)
+    rows = [(0, None, 9, start, expiry), (1, None, 1, start, expiry), (2, None, 1, start, expiry)]
+    inst = spark.createDataFrame([(9, 0), (1, 5)], "instrument_id int, available_stock int")
+    got = rules.rental_admission_row(spark.createDataFrame(rows, SCHEMA), inst, ["seq"], as_of=AS_OF, limit=2)
+    assert {r.seq: r.reason for r in got.collect()} == {0: "out_of_stock", 1: None, 2: None}
+    none = rules.rental_admission_row(spark.createDataFrame([], SCHEMA), inst, ["seq"], as_of=AS_OF, limit=2)
+    assert none.count() == 0
+
+
+def test_rental_admission_row_follows_a_chain(spark, caplog):
+    """Row k shares its student with row k-1 or its instrument, in turn: each waits for the one before."""
+    start, expiry = dt.datetime(2024, 1, 1), dt.datetime(2024, 7, 1)
+    n = 10
+    rows = [(k, (k + 1) // 2, k // 2, start, expiry) for k in range(n)]
+    stock = {i: 1 for i in range(n)}
+    inst = spark.createDataFrame(list(stock.items()), "instrument_id int, available_stock int")
+    with caplog.at_level("INFO", logger="cadenza.operators.rules"):
+        got = rules.rental_admission_row(spark.createDataFrame(rows, SCHEMA), inst, ["seq"], as_of=AS_OF, limit=1)
+    assert {r.seq: r.reason for r in got.collect()} == _sequential_admission(rows, stock, [], 1, 12)
+    n_open = [r.args[0] for r in caplog.records if "rows open" in r.msg]
+    assert n_open == sorted(n_open, reverse=True) and len(set(n_open)) == len(n_open) and n_open[-1] == 0
+
+
 @pytest.mark.parametrize("seed", [6, 7])
 def test_rental_admission_statement_matches_sequential_abort(spark, seed):
     rnd = random.Random(seed)
