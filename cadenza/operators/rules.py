@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import plus_months, to_date
 from cadenza.session import ensure_checkpoint_dir
-from cadenza.operators.scan import bucket_edges, earlier_count, earlier_counts, range_buckets
+from cadenza.operators.scan import earlier_count, earlier_counts, mark_edges, range_buckets
 
 log = logging.getLogger(__name__)
 
@@ -281,8 +281,8 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
     rows still open. Afterwards one exact count per layout gives the reasons.
 
     The two range layouts (by student, by instrument) are sampled and pinned
-    once, with their boundary keys; a round ends in a checkpoint, and only the
-    number of open rows reaches the driver. ``order`` must be a unique row key.
+    once, with their boundary keys; a round ends in a checkpoint of the rows still
+    open at its start, and only the number of open rows reaches the driver. ``order`` must be a unique row key.
     Rows without a student (or instrument) count as one student (instrument);
     a lease without a start or an end passes the duration rule.
     """
@@ -304,11 +304,11 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
                 .drop("_existing_active"))
     rows = range_buckets(rows, ["student_id"], order, "_b_student")
     rows = range_buckets(rows, ["instrument_id"], order, "_b_instrument")
-    # each layout's boundary keys are fixed: compute them once (at most two rows per range)
-    by_student = {"keys": ["student_id"], "order": order, "bucket": "_b_student",
-                  "edges": bucket_edges(rows, ["student_id"], "_b_student").checkpoint()}
-    by_instrument = {"keys": ["instrument_id"], "order": order, "bucket": "_b_instrument",
-                     "edges": bucket_edges(rows, ["instrument_id"], "_b_instrument").checkpoint()}
+    # each layout's boundary keys are fixed: mark them once
+    rows = mark_edges(rows, ["student_id"], "_b_student", "_e_student")
+    rows = mark_edges(rows, ["instrument_id"], "_b_instrument", "_e_instrument").checkpoint()
+    by_student = {"keys": ["student_id"], "order": order, "bucket": "_b_student", "edges": "_e_student"}
+    by_instrument = {"keys": ["instrument_id"], "order": order, "bucket": "_b_instrument", "edges": "_e_instrument"}
 
     # _new: accepted in the last round, still to be taken off what later rows have left
     work = rows.filter("_r3").drop("_r3").withColumn("_new", F.lit(False))
@@ -320,13 +320,13 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
         work = (earlier_counts(work, flags={"_taken": F.col("_new") & active, "_maybe": is_open & active}, **by_student)
                 .withColumn("_places", F.col("_places") - F.col("_taken"))
                 .filter(F.col("_new") | (F.col("_places") > 0))
-                .withColumn("_sure", F.col("_maybe") < F.col("_places")).drop("_taken", "_maybe"))
+                .withColumn("_sure", F.col("_maybe") < F.col("_places")).drop("_taken", "_maybe").checkpoint())
         work = (earlier_counts(work, flags={"_taken": F.col("_new"), "_maybe": is_open}, **by_instrument)
                 .withColumn("_stock", F.col("_stock") - F.col("_taken"))
                 .filter(is_open & (F.col("_stock") > 0))
                 .withColumn("_new", F.col("_sure") & (F.col("_maybe") < F.col("_stock")))
                 .drop("_taken", "_maybe", "_sure").checkpoint())
-        accepted = accepted.unionByName(work.filter("_new").select("_rid").checkpoint())
+        accepted = accepted.unionByName(work.filter("_new").select("_rid"))
         n_open = work.filter(~F.col("_new")).count()
         log.info("row-mode admission: %d rows open after round %d", n_open, rnd)
         if n_open == 0:

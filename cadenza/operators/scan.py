@@ -84,9 +84,18 @@ def bucket_edges(df: DataFrame, keys, bucket: str) -> DataFrame:
     return edges.distinct()
 
 
+def mark_edges(df: DataFrame, keys, bucket: str, name: str) -> DataFrame:
+    """Add ``name``: whether the row's key is an edge key of its bucket, for counts that reuse the layout."""
+    keys = list(keys)
+    edges = bucket_edges(df, keys, bucket).withColumn("_e_yes", F.lit(True))
+    return (df.join(F.broadcast(edges), (F.col(bucket) == F.col("_e_b")) & _eq(keys, "_e_"), "left")
+            .withColumn(name, F.coalesce("_e_yes", F.lit(False)))
+            .drop("_e_b", "_e_yes", *[f"_e_{k}" for k in keys]))
+
+
 def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
                   out: str = "earlier", inclusive: bool = False, bucket: str | None = None,
-                  edges: DataFrame | None = None) -> DataFrame:
+                  edges: DataFrame | str | None = None) -> DataFrame:
     """Add ``out``: count of rows with the same ``keys`` before this row in ``order`` with ``flag`` set.
 
     ``keys`` may be empty (one global sequence). ``order`` is a list of column
@@ -100,8 +109,11 @@ def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
 
 
 def earlier_counts(df: DataFrame, keys, order, flags: dict[str, Column | str], inclusive: bool = False,
-                   bucket: str | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """``earlier_count`` of several flags in one pass: ``flags`` maps each new column to what it counts."""
+                   bucket: str | None = None, edges: DataFrame | str | None = None) -> DataFrame:
+    """``earlier_count`` of several flags in one pass: ``flags`` maps each new column to what it counts.
+
+    ``edges`` may also name a boolean column that marks the rows of edge keys (``mark_edges``).
+    """
     keys, order = list(keys), list(order)
     added = []
     if not keys:
@@ -125,9 +137,9 @@ def earlier_counts(df: DataFrame, keys, order, flags: dict[str, Column | str], i
         edges = bucket_edges(d, keys, bucket)
 
     # 3. per-bucket totals of the edge keys, then the offset of each spanning key's first run
-    on_edge = (F.col(bucket) == F.col("_e_b")) & _eq(keys, "_e_")
-    tot = (d.join(F.broadcast(edges), on_edge, "left_semi")
-           .groupBy(bucket, *keys).agg(*[F.sum(f"{FLAG}_{i}").alias(f"_tot_{i}") for i in n]))
+    edge_rows = (d.filter(edges) if isinstance(edges, str) else
+                 d.join(F.broadcast(edges), (F.col(bucket) == F.col("_e_b")) & _eq(keys, "_e_"), "left_semi"))
+    tot = (edge_rows.groupBy(bucket, *keys).agg(*[F.sum(f"{FLAG}_{i}").alias(f"_tot_{i}") for i in n]))
     w2 = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (tot.withColumns({f"_off_{i}": F.coalesce(F.sum(f"_tot_{i}").over(w2), F.lit(0)) for i in n})
                .filter(reduce(lambda a, b: a | b, [F.col(f"_off_{i}") > 0 for i in n]))
