@@ -6,6 +6,7 @@ counts fold to coarser ones by sums); a document is the point of its group count
 overlap of two sets is at most the sum of the coordinate minima of their points,
 and for two tree nodes at most that sum over their boxes' upper corners, so an
 R-tree over points drops pairs and whole subtrees that cannot reach the threshold.
+Trees hold coarse counts; pairs that pass meet the bound of the fine counts next.
 
 One tree over all documents would grow quadratic work (in many dimensions the
 boxes of a large corpus overlap), so trees are built in cells: two sets with
@@ -46,6 +47,7 @@ from cadenza.llm.wordhash import mix, shingle_hashes, text_batches
 WORDS = 5
 NUM, DEN = 4, 5                    # similarity 0.8
 LEAST_GROUPS = 64                     # groups: a power of two, at least one for each shingle
+COARSE = 4                            # in cells, groups of the counts are added up by so many
 BAND = 1.2501                         # sizes of similar sets differ by less
 BUCKET_BITS = 20
 COMMON_BUCKETS = 1 << 16           # buckets that count as common, at most; affects only the order
@@ -69,7 +71,10 @@ def group_counts(s: np.ndarray) -> bytes:
     n = LEAST_GROUPS
     while n < len(s):
         n *= 2
-    counts = np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return packed(np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n))
+
+
+def packed(counts: np.ndarray) -> bytes:
     if counts.max() < 16:
         return b"\4" + zlib.compress((counts[0::2] | counts[1::2] << 4).astype("u1").tobytes(), 1)
     return b"\x20" + zlib.compress(counts.astype("<u4").tobytes(), 1)
@@ -88,6 +93,19 @@ def folded(points: list[np.ndarray]) -> np.ndarray:
     return np.stack([p if len(p) == n else p.reshape(-1, n).sum(axis=0) for p in points])
 
 
+def coarse(points: DataFrame) -> DataFrame:
+    """(node, n_shingles, counts) with fewer groups: bounds are weaker, hold all the same, and less moves to the cells."""
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for counts in map(unpacked, b.column(2).to_pylist()):
+                n = max(LEAST_GROUPS, len(counts) // COARSE)
+                out.append(packed(counts.reshape(-1, n).sum(axis=0)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["node", "n_shingles", "counts"])
+
+    return points.select("node", "n_shingles", "counts").mapInArrow(added, "node long, n_shingles long, counts binary")
+
+
 def common_shingles(texts: DataFrame) -> np.ndarray:
     """Weight per bucket: 0, or the count of a bucket that stands out in some task (at most COMMON_BUCKETS)."""
     n = 1 << BUCKET_BITS
@@ -342,7 +360,10 @@ def linked_nodes(signed: DataFrame, texts: DataFrame) -> DataFrame:
     first = components(links)
     placed = shared.join(first, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
     placed = stage(placed.join(points.select("node", "n_shingles"), "node"))
-    candidates = stage(cell_pairs(blocked(placed).join(points, "node")))
+    candidates = stage(cell_pairs(blocked(placed).join(coarse(points), "node")))
+    met = stage(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    fine = points.join(bounded_broadcast(met, MAX_BROADCAST_IDS), "node", "left_semi")
+    candidates = stage(within_bound(candidates, fine))
     return components(stage(links.unionByName(verified(candidates, places, texts))))
 
 
