@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,25 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Tables:
+    """Numbered Parquet tables in one new folder of the shared checkpoint folder.
+
+    For loops that join a table with itself: a checkpoint keeps its plan's size
+    estimate, which every such join squares, so that planning alone soon takes
+    minutes and the driver's memory; a file has its true size.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.n = spark, 0
+        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
 
@@ -50,22 +71,23 @@ def components(edges: DataFrame) -> DataFrame:
     and no neighbour list is ever gathered.
     Nulls and self-loops are dropped; an empty input gives an empty result.
     """
-    cur = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    keep = Tables(edges.sparkSession, "components").keep
+    cur = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                 .where("a < b").distinct())
     hooks = []
     while not cur.isEmpty():
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(
+        hook = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("node"), F.least("a", "m").alias("parent")))
         while True:       # every node's pointer to its tree's root, twice as far each time
-            jumped = stage(hook.join(hook.toDF("parent", "top"), "parent").select(
+            jumped = keep(hook.join(hook.toDF("parent", "top"), "parent").select(
                 "node", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved")))
             hook = jumped.select("node", "parent")
             if jumped.where("moved").isEmpty():
                 break
         hooks.append(hook)
         left, right = hooks[-1].toDF("a", "pa"), hooks[-1].toDF("b", "pb")
-        cur = stage(cur.join(left, "a").join(right, "b").where("pa <> pb")
+        cur = keep(cur.join(left, "a").join(right, "b").where("pa <> pb")
                     .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
     if not hooks:
         return cur.toDF("node", "component")
@@ -73,4 +95,4 @@ def components(edges: DataFrame) -> DataFrame:
     for hook in hooks[1:]:
         roots = roots.join(hook.toDF("component", "top"), "component", "left").select(
             "node", F.coalesce("top", "component").alias("component"))
-    return stage(roots)
+    return keep(roots)
