@@ -23,7 +23,7 @@ from __future__ import annotations
 import datetime as _dt
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import plus_months, to_date
@@ -59,6 +59,11 @@ def config_value(system_config: DataFrame, key: str) -> int:
     return int(found["value"])
 
 
+def _setting(value: int | DataFrame, key: str) -> int:
+    """``value`` itself, or what the system_config table given in its place holds for ``key``."""
+    return config_value(value, key) if isinstance(value, DataFrame) else value
+
+
 # --------------------------------------------------------------------------- R1 is reports.sibling_closure
 
 # --------------------------------------------------------------------------- R3 duration
@@ -70,8 +75,9 @@ def duration_ok(start: Column | str, expiry: Column | str, max_months: int = DEF
     return e <= plus_months(s, max_months)
 
 
-def rental_duration_check(rentals: DataFrame, max_months: int = DEFAULT_MAX_MONTHS) -> DataFrame:
+def rental_duration_check(rentals: DataFrame, max_months: int | DataFrame = DEFAULT_MAX_MONTHS) -> DataFrame:
     """Flags every rental whose lease runs past ``max_months`` after its start."""
+    max_months = _setting(max_months, CONFIG_MAX_MONTHS)
     return rentals.withColumn("violates", ~duration_ok("rental_start_time", "lease_expiry_time", max_months))
 
 
@@ -92,6 +98,15 @@ def stock_admission(batch: DataFrame, instrument: DataFrame, order: list) -> Dat
             .drop("_before"))
 
 
+def stock_after_inserts(instrument: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stock per instrument after ``batch`` under the stock rule alone: as many rows are accepted as there is stock."""
+    wanted = batch.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("_wanted"))
+    rented = F.least(F.coalesce("_wanted", F.lit(0)), F.greatest(F.coalesce("available_stock", F.lit(0)), F.lit(0)).cast("long"))
+    return (instrument.select("instrument_id", "available_stock").join(wanted, "instrument_id", "left")
+            .select("instrument_id", "available_stock", rented.alias("rented"),
+                    (F.col("available_stock") - rented).cast("int").alias("stock_after")))
+
+
 def stock_after(instrument: DataFrame, admitted: DataFrame) -> DataFrame:
     """Stock per instrument after the accepted rentals of ``stock_admission``."""
     taken = (admitted.filter("accepted").groupBy("instrument_id").agg(F.count(F.lit(1)).alias("rented")))
@@ -116,22 +131,34 @@ def active_counts(existing: DataFrame, as_of: _dt.date) -> DataFrame:
 
 
 def active_rental_limit(existing: DataFrame, batch: DataFrame, order: list, as_of=None,
-                        limit: int = DEFAULT_MAX_ACTIVE) -> DataFrame:
+                        limit: int | DataFrame = DEFAULT_MAX_ACTIVE) -> DataFrame:
     """Row mode active-rental limit.
 
     A row is accepted when the student's active rentals (existing ones plus
     accepted earlier batch rows that are themselves active) are below ``limit``.
     Counting every earlier active batch row is exact: once earlier rows reach
-    the limit, this row fails either way.
+    the limit, this row fails either way. So a student with p places left
+    accepts the rows up to the p-th active one of the batch; at most ``limit``
+    rows per student and task are shuffled to find it. Rows without a student
+    count as one student without existing rentals.
     """
     day = to_date(as_of)
-    b = batch.withColumn("_is_active", _active("lease_expiry_time", day))
-    b = earlier_count(b, ["student_id"], order, flag="_is_active", out="_before")
-    b = b.join(active_counts(existing, day), "student_id", "left")
-    ok = (F.coalesce("_existing_active", F.lit(0)) + F.col("_before")) < F.lit(limit)
+    limit = _setting(limit, CONFIG_MAX_ACTIVE)
+    seq = F.struct(*[F.col(c) for c in order])
+    first = (batch.filter(_active("lease_expiry_time", day)).select("student_id", seq.alias("_last"))
+             .withColumn("_n", F.row_number().over(Window.partitionBy("student_id").orderBy("_last")))
+             .filter(F.col("_n") <= F.lit(limit)))
+    counts = active_counts(existing.filter(F.col("student_id").isNotNull()), day)
+    places = F.lit(limit) - F.coalesce("_existing_active", F.lit(0))
+    last = (first.join(counts, "student_id", "left").filter(F.col("_n") == places)
+            .select("student_id", "_last"))
+    student = (counts.join(last, "student_id", "full")
+               .select(F.col("student_id").alias("_student"), "_existing_active", "_last"))
+    b = batch.join(student, F.col("student_id").eqNullSafe(F.col("_student")), "left")
+    ok = (places > 0) & F.coalesce(seq <= F.col("_last"), F.lit(True))
     return (b.withColumn("accepted", ok)
-            .withColumn("reason", F.when(~ok, F.lit(R_ACTIVE)))
-            .drop("_is_active", "_before", "_existing_active"))
+            .withColumn("reason", F.when(~F.col("accepted"), F.lit(R_ACTIVE)))
+            .drop("_student", "_existing_active", "_last"))
 
 
 # --------------------------------------------------------------------------- R5 capacity
@@ -216,6 +243,32 @@ def current_price_flags(existing: DataFrame, batch: DataFrame, order: list,
     return ex.unionByName(new, allowMissingColumns=True)
 
 
+def current_price_updates(prices: DataFrame, updates: DataFrame, order: list) -> DataFrame:
+    """is_current after ``updates`` (rental_price_id, is_current, ``order``) of the price history, row by row.
+
+    An update that turns a row's flag on clears the other rows of its
+    instrument; one that leaves it on clears nothing. Per instrument it
+    therefore matters only whether any update turned a flag on, and which row
+    was last set to TRUE: before the first such turn flags only go out, after it
+    at most one row is on. A null flag counts as FALSE; updates of unknown rows
+    are ignored.
+    """
+    flag, seq = F.coalesce("is_current", F.lit(False)), F.struct(*[F.col(c) for c in order])
+    per_row = (updates.select("rental_price_id", F.when(flag, seq).alias("_on"), F.when(~flag, seq).alias("_off"))
+               .groupBy("rental_price_id")
+               .agg(F.max("_on").alias("_on"), F.min("_off").alias("_first_off"), F.max("_off").alias("_off")))
+    rows = prices.withColumn("is_current", flag).join(per_row, "rental_price_id", "left")
+    turned = F.col("_on").isNotNull() & (~F.col("is_current") | F.coalesce(F.col("_first_off") < F.col("_on"), F.lit(False)))
+    per_instrument = (rows.filter(F.col("_on").isNotNull()).groupBy("instrument_id")
+                      .agg(F.max("_on").alias("_last"), F.bool_or(turned).alias("_turned")))
+    kept = F.col("is_current") & F.col("_off").isNull()
+    is_last = F.coalesce(F.col("_on") == F.col("_last"), F.lit(False))
+    after = (F.when(is_last, F.coalesce(F.col("_off") < F.col("_on"), F.lit(True)))
+             .when(F.col("_turned"), F.lit(False)).otherwise(kept))
+    return (rows.join(per_instrument, "instrument_id", "left").withColumn("is_current", after)
+            .select(*prices.columns))
+
+
 # --------------------------------------------------------------------------- R8 all rental rules
 
 def _rental_flags(b: DataFrame, instrument: DataFrame, existing_active: DataFrame | None, as_of: _dt.date,
@@ -344,8 +397,9 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
                                                   "_rid").drop("_rid")
 
 
-def rental_update_check(existing: DataFrame, updates: DataFrame, as_of=None, limit: int = DEFAULT_MAX_ACTIVE,
-                        max_months: int = DEFAULT_MAX_MONTHS, exclude_self: bool = False) -> DataFrame:
+def rental_update_check(existing: DataFrame, updates: DataFrame, as_of=None,
+                        limit: int | DataFrame = DEFAULT_MAX_ACTIVE,
+                        max_months: int | DataFrame = DEFAULT_MAX_MONTHS, exclude_self: bool = False) -> DataFrame:
     """The two rental triggers that also fire on UPDATE (active-rental limit, then duration).
 
     ``updates`` holds the new version of existing rows (``rental_id`` plus the
@@ -355,6 +409,7 @@ def rental_update_check(existing: DataFrame, updates: DataFrame, as_of=None, lim
     Each update is checked against ``existing`` (updates are independent rows).
     """
     day = to_date(as_of)
+    limit, max_months = _setting(limit, CONFIG_MAX_ACTIVE), _setting(max_months, CONFIG_MAX_MONTHS)
     act = existing.filter(_active("lease_expiry_time", day)).select("student_id", "rental_id")
     counts = act.groupBy("student_id").agg(F.count(F.lit(1)).alias("_n"))
     u = updates.join(counts, "student_id", "left")
@@ -372,13 +427,16 @@ def rental_update_check(existing: DataFrame, updates: DataFrame, as_of=None, lim
 
 
 def admit_rentals(batch: DataFrame, instrument: DataFrame, order: list, existing: DataFrame | None = None,
-                  as_of=None, limit: int = DEFAULT_MAX_ACTIVE, max_months: int = DEFAULT_MAX_MONTHS,
+                  as_of=None, limit: int | DataFrame = DEFAULT_MAX_ACTIVE,
+                  max_months: int | DataFrame = DEFAULT_MAX_MONTHS,
                   mode: str = "row", statement: str | None = None) -> DataFrame:
     """INSERT INTO instrument_rental with all rental triggers, in ``row`` or ``statement`` mode.
 
     Row mode returns every row with accepted / reason. Statement mode returns
-    one row per ``statement`` value (the whole batch when None).
+    one row per ``statement`` value (the whole batch when None). ``limit`` and
+    ``max_months`` are numbers or the system_config table that holds them.
     """
+    limit, max_months = _setting(limit, CONFIG_MAX_ACTIVE), _setting(max_months, CONFIG_MAX_MONTHS)
     if mode == "row":
         return rental_admission_row(batch, instrument, order, existing, as_of, limit, max_months)
     if mode != "statement":

@@ -162,6 +162,20 @@ def rentals(t: Tables) -> DataFrame:
             .withColumn("instrument_id", F.col("l_partkey")))
 
 
+def system_config(t: Tables) -> DataFrame:
+    """The rules' settings from two regions' keys: 12 months (region 1), 2 active rentals (region 2)."""
+    key = F.col("r_regionkey")
+    return t.region.filter(key.isin(1, 2)).select(
+        F.when(key == 1, "max_rental_duration_months").otherwise("max_active_rentals_per_student").alias("config_type"),
+        F.when(key == 1, key * 12).otherwise(key).cast("int").alias("config_value"))
+
+
+def rental_prices(t: Tables) -> DataFrame:
+    """Every order as a price of the instrument o_custkey; open orders are current."""
+    return t.orders.select(F.col("o_orderkey").alias("rental_price_id"), F.col("o_custkey").alias("instrument_id"),
+                           (F.col("o_orderstatus") == "O").alias("is_current"))
+
+
 def payment_rentals(t: Tables) -> DataFrame:
     """One rental per order: first and last ship time, lowest part key."""
     return (t.lineitem.groupBy(F.col("l_orderkey").alias("rental_id"))

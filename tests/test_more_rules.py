@@ -86,6 +86,62 @@ def test_unique_lets_nulls_pass_and_stock_may_be_negative(spark):
     assert rules.stock_after(stock, none).first()["stock_after"] == -3
 
 
+def test_price_updates_equal_a_sequential_run(spark):
+    import random
+    rng = random.Random(5)
+    prices, updates, want = [], [], {}
+    for i in range(200):                       # an instrument each
+        ids = [10 * i + k for k in range(rng.randint(1, 4))]
+        flags = {p: rng.random() < 0.5 for p in ids}
+        prices += [(p, i, f) for p, f in flags.items()]
+        for _ in range(rng.randint(0, 6)):
+            p, new = rng.choice(ids), rng.random() < 0.6
+            updates.append((len(updates), p, new))
+            if new and not flags[p]:
+                flags = dict.fromkeys(ids, False)
+            flags[p] = new
+        want |= flags
+    got = rules.current_price_updates(
+        spark.createDataFrame(prices, "rental_price_id long, instrument_id long, is_current boolean"),
+        spark.createDataFrame(updates, "seq long, rental_price_id long, is_current boolean"), ["seq"]).collect()
+    assert {r["rental_price_id"]: r["is_current"] for r in got} == want
+
+
+def test_active_limit_equals_a_sequential_run(spark):
+    import random
+    rng = random.Random(9)
+    day, old, new = dt.date(2024, 6, 1), dt.datetime(2024, 5, 1), dt.datetime(2024, 7, 1)
+    start = dt.datetime(2024, 1, 1)
+
+    def rentals(n, first):
+        return [(first + i, rng.choice([None, 1, 2, 3, 4, 5, 6, 7]), 0, start, rng.choice([old, new])) for i in range(n)]
+    existing, batch = rentals(8, 0), rentals(40, 100)
+    for limit in (0, 1, 3):
+        have = {}
+        for _, student, _, _, end in existing:
+            if student is not None and end == new:
+                have[student] = have.get(student, 0) + 1
+        want = {}
+        for seq, student, _, _, end in batch:
+            want[seq] = have.get(student, 0) < limit
+            if want[seq] and end == new:
+                have[student] = have.get(student, 0) + 1
+        got = rules.active_rental_limit(spark.createDataFrame(existing, SCHEMA), spark.createDataFrame(batch, SCHEMA),
+                                        ["seq"], day, limit)
+        assert {r["seq"]: r["accepted"] for r in got.collect()} == want
+
+
+def test_settings_from_system_config(spark):
+    import pytest
+    rows = spark.createDataFrame([(1, 7, 0, dt.datetime(2024, 1, 1), dt.datetime(2024, 4, 2))], SCHEMA)
+    config = spark.createDataFrame([("max_rental_duration_months", 3)], "config_type string, config_value int")
+    assert rules.rental_duration_check(rows, config).first()["violates"]
+    with pytest.raises(rules.ConfigMissing):
+        rules.active_rental_limit(rows, rows, ["seq"], dt.date(2024, 1, 1), config)
+    with pytest.raises(rules.ConfigMissing):
+        rules.rental_duration_check(rows, config.union(config))
+
+
 def test_append_with_unreadable_keys_raises(spark, tmp_path):
     import pytest
     from pyspark.errors import AnalysisException
