@@ -126,6 +126,36 @@ def test_line_dedup(spark, docs):
     assert line_dedup.repeated_lines(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize("large,block", [(line_dedup.LARGE, line_dedup.BLOCK), (4, 3)])
+def test_line_dedup_meets_every_similar_pair(spark, monkeypatch, large, block):
+    """Against edit similarity of all pairs, with 1 to 20 % of the words changed; also with cells split early and dealt in small blocks."""
+    monkeypatch.setattr(line_dedup, "LARGE", large)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(12)
+    word = lambda: rng.choice(WORDS) + (rng.choice(WORDS) if rng.random() < 0.5 else "")
+    lines = [[word() for _ in range(rng.randint(3, 45))] for _ in range(150)]
+    for i, base in enumerate(lines[:]):
+        for _ in range(12 if i % 30 == 0 else 1):       # some groups are large
+            w = list(base)
+            for _ in range(max(1, round(rng.uniform(0.01, 0.2) * len(w)))):
+                at = rng.randrange(len(w))
+                w[at:at + 1] = rng.choice([[word()], [word()], [], [w[at], word()]])
+            lines.append(w)
+    lines += [["nu", "nu"] * 5 + [word()] for _ in range(20)]      # one cell of lines with repeated words
+    rng.shuffle(lines)
+    known = {line_dedup.line_id(" ".join(x).encode()): x for x in lines if x}
+    near = lambda a, b: line_dedup.edit_distance(known[a], known[b], 99) <= 0.2 * max(len(known[a]), len(known[b])) + 1e-9
+    want = groups_of(known, near)
+    docs = spark.createDataFrame([(i, "\n".join(map(" ".join, lines[i:i + 7]))) for i in range(0, len(lines), 7)], "doc_id long, text string")
+    first = {}
+    for i, w in enumerate(lines):
+        if w:
+            first.setdefault(want[line_dedup.line_id(" ".join(w).encode())], i)
+    dropped = {i for i, w in enumerate(lines) if w and first[want[line_dedup.line_id(" ".join(w).encode())]] != i}
+    got = {r["doc_id"] + n for r in line_dedup.repeated_lines(docs).collect() for n in r["dropped"]}
+    assert len(dropped) > 150 and got == dropped
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
