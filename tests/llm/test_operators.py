@@ -200,6 +200,38 @@ def test_decontaminate_against_all_alignments(spark):
     assert left.count() == len(data) - len({d for d, _ in got})
 
 
+@pytest.mark.parametrize("n", range(1, decontaminate.WINDOW))
+def test_short_masks_meet_every_item(n):
+    k = n // 5 if n >= 9 else 0
+    for gone in itertools.combinations(range(n), k):
+        assert any(not {at + o for o in m} & set(gone) and at + m[-1] < n for at, m in decontaminate.SHORT[n])
+
+
+def test_short_items_against_all_alignments(spark):
+    rng = random.Random(10)
+    items = [(n, " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))) for n in range(1, 15)] + [(20, "今日は良い天気ですね"), (21, "我们今天去公园散步")]
+    words = lambda t: re.findall(r"[぀-ヿ一-鿿]|[a-z]+", (t or "").lower())
+    data = [(0, None), (1, ""), (2, "彼は今日は良い天気ですねと言った。"), (3, "我们今天去公园")]
+    for n, text in items[:14]:
+        for _ in range(10):
+            w = text.split()
+            for at in rng.sample(range(n), min(n, rng.randint(0, 3))):
+                w[at] = rng.choice(WORDS)
+            cut = rng.choice([0, 0, 0, 1])             # also with the first word missing, at the document's edge
+            data.append((len(data), " ".join(w[cut:] + ([prose(rng, 6)] if cut else []))))
+    want = set()
+    for (d, t), (i, x) in itertools.product(data, items):
+        a, b = words(t), words(x)
+        n = min(len(b), 13)
+        most = n // 5 if n >= 9 else 0
+        if any(n - sum(0 <= s + p + k < len(a) and a[s + p + k] == b[p + k] for k in range(n)) <= most
+               for s in range(-len(b), len(a)) for p in range(len(b) - n + 1)):
+            want.add((d, i))
+    df, bench = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert (2, 20) in got and {i for _, i in want} >= set(range(1, 15)) and got == want
+
+
 def test_mixing_against_plain_loop(docs, table):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sized = mixing.sized(docs)
