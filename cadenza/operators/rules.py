@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import plus_months, to_date
-from cadenza.session import ensure_checkpoint_dir
 from cadenza.operators.scan import earlier_count, earlier_counts, mark_edges, range_buckets
+from cadenza.staging import Stages
 
 log = logging.getLogger(__name__)
 
@@ -324,24 +324,36 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
     of its instrument, so no single window decides it. Row i depends only on
     earlier rows, so the system has exactly one solution, the sequential run.
 
-    A row is open until bounds settle it. Each open row carries what its student
-    and its instrument have left after the accepted rows before it that are
-    settled. It is rejected once either has nothing left, and accepted once even
-    all open rows before it could not use up either. Settled rows leave the
-    working table, which holds keys, order and counts only; rows that fail the
-    duration rule never enter it. The earliest open row settles in every round,
-    so the loop ends by itself; long dependency chains cost rounds over the few
-    rows still open. Afterwards one exact count per layout gives the reasons.
+    A row is open until bounds settle it. On each side (student, instrument) an
+    open row knows what is left there after the settled rows before it, and the
+    open rows before it that count on this side: ``_free`` of them have room on
+    their other side whatever happens, ``_unsure`` do not know yet.
+
+    * It has room on a side for certain once ``free + unsure < left``, and is
+      accepted once it has room on both.
+    * It is rejected once ``free >= left`` on a side: if there were still room,
+      all free rows before it would have been accepted and used it up.
+    * With ``unsure = 1`` and ``free = left - 1`` it has room exactly if that one
+      unsure row is rejected. Rows that wait for one other row like this, with
+      room on the other side, form chains; when a round settles less than half
+      of the open rows, the chains are followed by pointer doubling, so a chain
+      of n rows takes log n joins and not n rounds.
+
+    Settled rows leave the working table, which holds keys, order and counts
+    only; rows that fail the duration rule never enter it. The earliest open row
+    settles in every round, so the loop ends by itself. Afterwards one exact
+    count per layout gives the reasons.
 
     The two range layouts (by student, by instrument) are sampled and pinned
-    once, with their boundary keys; a round ends in a checkpoint of the rows still
-    open at its start, and only the number of open rows reaches the driver. ``order`` must be a unique row key.
-    Rows without a student (or instrument) count as one student (instrument);
-    a lease without a start or an end passes the duration rule.
+    once, with their boundary keys; a round ends in a written table of the rows
+    still open at its start, the one before is deleted, and only the number of
+    open rows reaches the driver. ``order`` must be a unique row key. Rows without
+    a student (or instrument) count as one student (instrument); a lease without
+    a start or an end passes the duration rule.
     """
     day = to_date(as_of)
-    ensure_checkpoint_dir(batch.sparkSession)
-    pinned = batch.withColumn("_rid", F.monotonically_increasing_id()).checkpoint()
+    stages = Stages(batch.sparkSession, "rental-admission")
+    pinned = stages.keep(batch.withColumn("_rid", F.monotonically_increasing_id()))
     rows = pinned.select(
         "_rid", "student_id", "instrument_id", *[c for c in order if c not in ("student_id", "instrument_id")],
         F.coalesce(duration_ok("rental_start_time", "lease_expiry_time", max_months), F.lit(True)).alias("_r3"),
@@ -358,35 +370,44 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
     rows = range_buckets(rows, ["student_id"], order, "_b_student")
     rows = range_buckets(rows, ["instrument_id"], order, "_b_instrument")
     # each layout's boundary keys are fixed: mark them once
-    rows = mark_edges(rows, ["student_id"], "_b_student", "_e_student")
-    rows = mark_edges(rows, ["instrument_id"], "_b_instrument", "_e_instrument").checkpoint()
+    marked = stages.keep(mark_edges(rows, ["student_id"], "_b_student", "_e_student"))
+    rows = stages.keep(mark_edges(marked, ["instrument_id"], "_b_instrument", "_e_instrument"))
+    stages.drop(marked)
     by_student = {"keys": ["student_id"], "order": order, "bucket": "_b_student", "edges": "_e_student"}
     by_instrument = {"keys": ["instrument_id"], "order": order, "bucket": "_b_instrument", "edges": "_e_instrument"}
 
     # _new: accepted in the last round, still to be taken off what later rows have left
-    work = rows.filter("_r3").drop("_r3").withColumn("_new", F.lit(False))
-    accepted = rows.select("_rid").limit(0)
-    rnd = 0
+    work = rows.filter("_r3").drop("_r3").withColumns(
+        {"_new": F.lit(False), "_room_student": F.lit(False), "_room_instrument": F.lit(False)})
+    accepted, last, rnd = [], None, 0
+    was_open = work.count()
     while True:
         rnd += 1
-        active, is_open = F.col("_is_active"), ~F.col("_new")
-        work = (earlier_counts(work, flags={"_taken": F.col("_new") & active, "_maybe": is_open & active}, **by_student)
-                .withColumn("_places", F.col("_places") - F.col("_taken"))
-                .filter(F.col("_new") | (F.col("_places") > 0))
-                .withColumn("_sure", F.col("_maybe") < F.col("_places")).drop("_taken", "_maybe").checkpoint())
-        work = (earlier_counts(work, flags={"_taken": F.col("_new"), "_maybe": is_open}, **by_instrument)
-                .withColumn("_stock", F.col("_stock") - F.col("_taken"))
-                .filter(is_open & (F.col("_stock") > 0))
-                .withColumn("_new", F.col("_sure") & (F.col("_maybe") < F.col("_stock")))
-                .drop("_taken", "_maybe", "_sure").checkpoint())
-        accepted = accepted.unionByName(work.filter("_new").select("_rid"))
-        n_open = work.filter(~F.col("_new")).count()
+        seen = stages.keep(_settle_side(work, by_student, "_places", "_student", "_room_instrument",
+                                        ~F.col("_new"), F.col("_is_active")))
+        done = _settle_side(seen, by_instrument, "_stock", "_instrument", "_room_student",
+                            ~F.col("_new") & F.col("_status_student").isNull(), F.lit(True)).filter(~F.col("_new"))
+        room = F.col("_room_student") & F.col("_room_instrument")
+        done = stages.keep(done.drop("_new").withColumn(
+            "_status", F.coalesce("_status_student", "_status_instrument", F.when(room, F.lit(True)))))
+        stages.drop(seen, *([last] if last is not None else []))
+        n_open = done.filter("_status IS NULL").count()
+        if n_open and 2 * n_open > was_open:
+            last = _follow_chains(done, stages)
+            stages.drop(done)
+            n_open = last.filter("_status IS NULL").count()
+        else:
+            last = done
+        was_open = n_open
         log.info("row-mode admission: %d rows open after round %d", n_open, rnd)
+        accepted.append(stages.keep(last.filter("_status").select("_rid")))
         if n_open == 0:
             break
+        work = last.filter("_status IS NULL OR _status").withColumn("_new", F.col("_status").isNotNull()).drop("_status")
+    stages.drop(last)
 
     # _places and _stock are still those before the batch here, so these counts decide exactly
-    rows = (rows.join(accepted.withColumn("accepted", F.lit(True)), "_rid", "left")
+    rows = (rows.join(stages.together(accepted).withColumn("accepted", F.lit(True)), "_rid", "left")
             .withColumn("accepted", F.coalesce("accepted", F.lit(False))))
     rows = earlier_count(rows, flag=F.col("accepted") & F.col("_is_active"), out="_act_before", **by_student)
     rows = earlier_count(rows, flag="accepted", out="_ins_before", **by_instrument)
@@ -397,6 +418,55 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
                                                   "_rid").drop("_rid")
 
 
+def _settle_side(work: DataFrame, layout: dict, left: str, side: str, other_room: str, is_open: Column,
+                 counts: Column) -> DataFrame:
+    """One side of a round of ``rental_admission_row``: takes the new rows off ``left`` and sets, for this side,
+    ``_status`` (False: rejected), ``_room`` (certain), ``_waits`` (room exactly if the key's first unsure row is
+    rejected) and ``_first`` (that row). ``counts`` says which rows take something on this side."""
+    unsure = is_open & counts & ~F.col(other_room)
+    d = earlier_counts(work, flags={"_taken": F.col("_new") & counts, "_free": is_open & counts & F.col(other_room),
+                                    "_unsure": unsure}, **layout)
+    d = d.withColumn(left, F.col(left) - F.col("_taken"))
+    return d.withColumns({
+        f"_status{side}": F.when(is_open & (F.col("_free") >= F.col(left)), F.lit(False)),
+        f"_room{side}": F.col("_free") + F.col("_unsure") < F.col(left),
+        f"_waits{side}": is_open & (F.col("_unsure") == 1) & (F.col("_free") == F.col(left) - 1),
+        f"_first{side}": unsure & (F.col("_unsure") == 0)}).drop("_taken", "_free", "_unsure")
+
+
+def _follow_chains(done: DataFrame, stages: Stages) -> DataFrame:
+    """``done`` with the rows settled that wait, over a chain of single rows, for a settled one.
+
+    Each link negates (a row that waits has room exactly if the other is rejected), so a row's end is that of its
+    chain's root, negated once per link. Roots that are still open leave their chain open.
+    """
+    links = []
+    for side, key in (("_student", "student_id"), ("_instrument", "instrument_id")):
+        other = "_room_instrument" if side == "_student" else "_room_student"
+        first = done.filter(f"_first{side}").select(F.col(key).alias("_key"), F.col("_rid").alias("_to"))
+        waiting = done.filter(F.col("_status").isNull() & F.col(f"_waits{side}") & F.col(other)).select("_rid", key)
+        links.append(waiting.join(first, F.col(key).eqNullSafe(F.col("_key"))).select(
+            "_rid", "_to", F.lit(True).alias("_odd")))
+    # a row with room on one side waits on the other alone, so no row has two links
+    links = stages.keep(links[0].unionByName(links[1]))
+    while True:
+        ahead = links.select(F.col("_rid").alias("_to"), F.col("_to").alias("_far"), F.col("_odd").alias("_far_odd"))
+        jumped = stages.keep(links.join(ahead, "_to", "left").select(
+            "_rid", F.coalesce("_far", "_to").alias("_to"),
+            (F.col("_odd") != F.coalesce("_far_odd", F.lit(False))).alias("_odd"),
+            F.col("_far").isNotNull().alias("_moved")))
+        stages.drop(links)
+        links = jumped
+        if jumped.filter("_moved").isEmpty():
+            break
+    roots = done.select(F.col("_rid").alias("_to"), F.col("_status").alias("_root"))
+    ends = (links.join(roots, "_to").filter("_root IS NOT NULL")
+            .select("_rid", (F.col("_root") != F.col("_odd")).alias("_end")))
+    out = stages.keep(done.join(ends, "_rid", "left").withColumn("_status", F.coalesce("_status", "_end")).drop("_end"))
+    stages.drop(links)
+    return out
+
+
 def rental_update_check(existing: DataFrame, updates: DataFrame, as_of=None,
                         limit: int | DataFrame = DEFAULT_MAX_ACTIVE,
                         max_months: int | DataFrame = DEFAULT_MAX_MONTHS, exclude_self: bool = False) -> DataFrame:

@@ -112,6 +112,7 @@ def earlier_counts(df: DataFrame, keys, order, flags: dict[str, Column | str], i
                    bucket: str | None = None, edges: DataFrame | str | None = None) -> DataFrame:
     """``earlier_count`` of several flags in one pass: ``flags`` maps each new column to what it counts.
 
+    A whole number in place of a flag is summed, so signed events can be counted up and down.
     ``edges`` may also name a boolean column that marks the rows of edge keys (``mark_edges``).
     """
     keys, order = list(keys), list(order)
@@ -142,7 +143,7 @@ def earlier_counts(df: DataFrame, keys, order, flags: dict[str, Column | str], i
     tot = (edge_rows.groupBy(bucket, *keys).agg(*[F.sum(f"{FLAG}_{i}").alias(f"_tot_{i}") for i in n]))
     w2 = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (tot.withColumns({f"_off_{i}": F.coalesce(F.sum(f"_tot_{i}").over(w2), F.lit(0)) for i in n})
-               .filter(reduce(lambda a, b: a | b, [F.col(f"_off_{i}") > 0 for i in n]))
+               .filter(reduce(lambda a, b: a | b, [F.col(f"_off_{i}") != 0 for i in n]))
                .select(F.col(bucket).alias("_o_b"), *[F.col(c).alias(f"_o_{c}") for c in keys],
                        *[f"_off_{i}" for i in n]))
 
