@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, sharding, toxicity, url_filter
+from cadenza.llm import decontaminate, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, periodic_runs, sharding, toxicity, url_filter, vector_codes
 from cadenza.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,57 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def _code_round(k: int) -> str:
+    """CTEs of one assignment of all parts to codebook k and of codebook k + 1."""
+    return f"""
+near{k} AS (
+  SELECT row_no, part, idx, dist FROM (
+    SELECT x.row_no, x.part, c.idx, sum((x.v - c.v) * (x.v - c.v)) AS dist,
+           row_number() OVER (PARTITION BY x.row_no, x.part ORDER BY sum((x.v - c.v) * (x.v - c.v)), c.idx) AS rn
+    FROM comp x JOIN book{k} c ON x.part = c.part AND x.pos = c.pos GROUP BY x.row_no, x.part, c.idx) WHERE rn = 1),
+mean{k} AS (
+  SELECT n.part, n.idx, x.pos, CAST(sum(x.v) AS BIGINT) AS s, count(*) AS n
+  FROM near{k} n JOIN comp x ON n.row_no = x.row_no AND n.part = x.part GROUP BY ALL),
+book{k + 1} AS (
+  SELECT b.part, b.idx, b.pos,
+         CASE WHEN m.n IS NULL THEN b.v ELSE (m.s - (((m.s % m.n) + m.n) % m.n)) // m.n END AS v
+  FROM book{k} b LEFT JOIN mean{k} m ON b.part = m.part AND b.idx = m.idx AND b.pos = m.pos)"""
+
+
+CODES_SQL = f"""
+WITH kept AS (
+  SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row_no FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+comp AS (
+  SELECT row_no, (i - 1) // (n // 16) AS part, (i - 1) % (n // 16) AS pos,
+         CAST(floor(CAST(embedding[i] AS DOUBLE) * 256) AS BIGINT) AS v
+  FROM (SELECT row_no, embedding, len(embedding) AS n, unnest(range(1, len(embedding) + 1)) AS i FROM kept)),
+book0 AS (SELECT part, row_no AS idx, pos, v FROM comp WHERE row_no < 64),
+{_code_round(0)},
+{_code_round(1)},
+{_code_round(2)},
+codes AS (
+  SELECT row_no, string_agg(printf('%02x', CAST(idx AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error
+  FROM near2 GROUP BY row_no),
+by_label AS (
+  SELECT k.label, CAST(sum(c.error) AS BIGINT) AS label_error FROM kept k JOIN codes c USING (row_no) GROUP BY k.label),
+digest AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, idx, pos)) AS codebooks_sha256 FROM book2)
+SELECT k.vec_id, k.label, c.code, c.error, l.label_error, d.codebooks_sha256
+FROM kept k JOIN codes c USING (row_no) JOIN by_label l ON k.label IS NOT DISTINCT FROM l.label CROSS JOIN digest d
+"""
+
+
+@query("op11_vector_codes", CODES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), tail=periodic_runs.repeated_tail).drop(
+        "starts", "lengths", "periods")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
