@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, periodic_runs, sharding, toxicity, url_filter, vector_codes
+from cadenza.llm import decontaminate, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, periodic_runs, sharding, suffix_family, toxicity, url_filter, vector_codes
 from cadenza.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,6 +193,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_vectors(read(spark, sf_dir, "embeddings"))
 
 
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.remove_repeats(read(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), tail=periodic_runs.repeated_tail).drop(
