@@ -257,21 +257,33 @@ def repeated_spans(docs: DataFrame, family: SuffixFamily) -> DataFrame:
     return whole.unionByName(block).unionByName(single)
 
 
-def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _united_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ref, starts and ends of the maximal spans from lists of spans that may overlap."""
     for batch in batches:
         out = []
-        for doc_id, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = (text or "").encode("utf-8", "replace")
+        for a, b, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
             spans: list[list[int]] = []
-            for s, e in sorted(zip(starts or [], ends or [])):
+            for s, e in sorted(zip(starts, ends)):
                 if spans and s <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], e)
                 else:
                     spans.append([s, e])
+            out.append((a, b, [s for s, _e in spans], [e for _s, e in spans]))
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, types)],
+                                         names=[*REF, "starts", "ends"])
+
+
+def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for doc_id, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = (text or "").encode("utf-8", "replace")
+            spans = list(zip(starts or [], ends or []))
             cuts = [0, *(x for span in spans for x in span), len(raw)]
             rest = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
             out.append((doc_id, len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(),
-                        [s for s, _e in spans], [e for _s, e in spans]))
+                        starts or [], ends or []))
         columns = list(zip(*out)) or [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CUT)], schema=_CUT)
 
@@ -294,7 +306,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     for i in range(batches):
         family.add(long_texts.where(F.pmod("ref_a", F.lit(batches)) == i).select("text"), last=i == batches - 1)
     spans = repeated_spans(long_texts, family).groupBy(*REF).agg(F.collect_set(F.struct("start", "end")).alias("s"))
-    spans = family.stages.keep(spans.select(*REF, F.col("s.start").alias("starts"), F.col("s.end").alias("ends")))
+    spans = spans.select(*REF, F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
+    spans = family.stages.keep(spans.mapInArrow(_united_rows, f"{_REF}, starts array<long>, ends array<long>"))
     size = spans.agg(F.sum(40 + 16 * F.size("starts"))).first()[0] or 0
     if size <= MAX_BROADCAST_BYTES:
         spans = F.broadcast(spans)

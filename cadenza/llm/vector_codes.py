@@ -187,7 +187,8 @@ def code_vectors(embeddings: DataFrame, parts: int = PARTS, entries: int = ENTRI
     other = kept.where(~fits).select("vec_id", "label", F.lit(None).cast("string").alias("code"),
                                      F.lit(None).cast("long").alias("error"))
     coded = Stages(embeddings.sparkSession, "vector-codes").keep(coded.unionByName(other))
-    total = F.least(F.sum(F.col("error").cast("decimal(38,0)")), F.lit(MAX_LONG).cast("decimal(38,0)")).cast("long")
+    total = F.sum(F.col("error").cast("decimal(38,0)"))
+    total = F.when(total.isNotNull(), F.least(total, F.lit(MAX_LONG).cast("decimal(38,0)"))).cast("long")
     labels = coded.groupBy("label").agg(total.alias("label_error")).withColumnRenamed("label", "_of")
     labels = bounded_broadcast(labels, MAX_BROADCAST_LABELS)
     return (coded.join(labels, F.col("label").eqNullSafe(F.col("_of")), "left")
