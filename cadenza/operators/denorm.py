@@ -69,14 +69,21 @@ def payment_denorm(payment: DataFrame, rental: DataFrame, instrument: DataFrame,
 
     Both correlated updates of the source read the same rental row, so one left
     join on the rental key serves both; no match leaves both columns NULL. A
-    scalar subquery returning two rows is an error in SQL, so the rental key is
-    checked first (one distributed aggregate) unless ``check_rental_key`` is off.
+    scalar subquery returning two rows is an error in SQL: unless
+    ``check_rental_key`` is off, rentals are counted per key on their way to the
+    join (the same exchange serves both) and a payment that meets two of them
+    fails the query.
     """
+    r = rental.select("rental_id", "instrument_id", "rental_start_time", "lease_expiry_time")
     if check_rental_key:
-        assert_unique(rental, ["rental_id"], "rental key of the correlated update")
-    r = (rental.select("rental_id", "instrument_id", "rental_start_time", "lease_expiry_time")
-         .join(instrument.select("instrument_id", "instrument_type"), "instrument_id", "left")
-         .select("rental_id",
+        r = r.groupBy("rental_id").agg(*[F.any_value(c).alias(c) for c in r.columns if c != "rental_id"],
+                                       F.count(F.lit(1)).alias("_n"))
+    else:
+        r = r.withColumn("_n", F.lit(1))
+    r = (r.join(instrument.select("instrument_id", "instrument_type"), "instrument_id", "left")
+         .select("rental_id", "_n",
                  F.col("instrument_type").cast("string").alias("instrument_name"),
                  whole_days("rental_start_time", "lease_expiry_time").alias("rental_duration")))
-    return payment.join(r, "rental_id", "left").select(*payment.columns, "instrument_name", "rental_duration")
+    twice = F.when(F.col("_n") > 1, F.raise_error(F.lit("more than one rental for the rental key of a payment")))
+    return payment.join(r, "rental_id", "left").select(
+        *payment.columns, *[twice.otherwise(F.col(c)).alias(c) for c in ("instrument_name", "rental_duration")])

@@ -88,6 +88,33 @@ def assign_ids(df: DataFrame, order, start_after: int = 0, out: str = "id") -> D
             .drop("_rank"))
 
 
+def assign_missing_ids(df: DataFrame, order, column: str, start_after: int = 0) -> DataFrame:
+    """GENERATED BY DEFAULT identity: rows with an id in ``column`` keep it, the others get the free ones.
+
+    In ``order``, the rows without an id take the smallest numbers above
+    ``start_after`` that no row holds. The k-th smallest held number (from 0) has
+    ``held - start_after - 1 - k`` free numbers below it, so the row of rank r
+    skips as many held numbers as have at most r free ones below: one prefix count
+    over ranks and gap sizes together, without a window over all rows.
+
+    Adds ``collides``: whether a row's given id is held by another row as well
+    (both are kept; the primary key would refuse the second).
+    """
+    cols, value = df.columns, F.col(column)
+    missing = earlier_count(df.filter(value.isNull()), [], order, out="_at").withColumn("_kind", F.lit(1))
+    held = (earlier_count(df.filter(value > start_after).select(value.cast("long").alias("_held")).distinct(), [], ["_held"], out="_k")
+            .select((F.col("_held") - F.lit(start_after + 1) - F.col("_k")).alias("_at"), F.lit(0).alias("_kind")))
+    both = missing.unionByName(held, allowMissingColumns=True)
+    filled = (earlier_count(both, [], ["_at", "_kind"], flag=F.col("_kind") == 0, out="_skip").filter("_kind = 1")
+              .withColumn(column, (F.col("_at") + F.col("_skip") + F.lit(start_after + 1)).cast(df.schema[column].dataType))
+              .select(*cols, F.lit(False).alias("collides")))
+    twice = (df.filter(value.isNotNull()).groupBy(value.alias("_given")).agg(F.count(F.lit(1)).alias("_n"))
+             .filter("_n > 1").select("_given"))
+    given = (df.filter(value.isNotNull()).join(twice, value == F.col("_given"), "left")
+             .select(*cols, F.col("_given").isNotNull().alias("collides")))
+    return given.unionByName(filled)
+
+
 def next_id_after(existing: DataFrame, column: str) -> int:
     """max(id) of an existing table (0 when empty): the value identity ids continue after."""
     v = existing.agg(F.max(column)).first()[0]

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import logging
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,22 +181,38 @@ def lesson_capacity(existing: DataFrame, batch: DataFrame, individual: DataFrame
 
     The capacity trigger runs before the primary key check, so a duplicate in
     a full lesson reads 'full'. A duplicate (pair already enrolled, or earlier
-    in the batch) is rejected by the key and takes no seat.
+    in the batch) is rejected by the key and takes no seat. So a lesson with k
+    seats left is full after the k-th new student's first row: a bounded top-k
+    per lesson, which each task cuts to k before rows are dealt by lesson. First
+    rows per (lesson, student) are found before that by partial minima, dealt by
+    both, so one crowded lesson is spread over all tasks. ``order`` must be a
+    unique row key.
     """
-    pairs = existing.select("lesson_id", "student_id").distinct().withColumn("_in_target", F.lit(True))
+    seq = F.struct(*[F.col(c) for c in order])
     enrolled = existing.groupBy("lesson_id").agg(F.count(F.lit(1)).alias("_existing"))
-    b = batch.join(pairs, ["lesson_id", "student_id"], "left")
-    b = earlier_count(b, ["lesson_id", "student_id"], order, out="_same_before")
-    b = b.withColumn("_dup", F.coalesce("_in_target", F.lit(False)) | (F.col("_same_before") > 0))
-    b = earlier_count(b, ["lesson_id"], order, flag=~F.col("_dup"), out="_seats_before")
-    b = lesson_capacity_table(individual, group, ensemble, b).join(enrolled, "lesson_id", "left")
-    taken = F.coalesce("_existing", F.lit(0)) + F.col("_seats_before") + 1
+    typed = reduce(DataFrame.unionByName, [t.select("lesson_id") for t in (individual, group, ensemble)]).distinct()
+    lessons = (lesson_capacity_table(individual, group, ensemble, typed).join(enrolled, "lesson_id", "left")
+               .withColumn("_left", F.greatest(F.col("capacity") - F.coalesce("_existing", F.lit(0)), F.lit(0)).cast("long"))
+               .select("lesson_id", "capacity", "_left"))
+    # a seat goes to a new student's first row; only the first so many of a lesson matter
+    most = lessons.agg(F.max("_left")).first()[0] or 0
+    seats = lessons.filter("_left > 0").select("lesson_id", "_left")
+    firsts = (batch.select("lesson_id", "student_id", seq.alias("_first")).join(seats.select("lesson_id"), "lesson_id", "left_semi")
+              .groupBy("lesson_id", "student_id").agg(F.min("_first").alias("_first"))
+              .join(existing.select("lesson_id", "student_id"), ["lesson_id", "student_id"], "left_anti")
+              .withColumn("_n", F.row_number().over(Window.partitionBy("lesson_id").orderBy("_first")))
+              .filter(F.col("_n") <= F.lit(most)))
+    seated = firsts.join(seats, "lesson_id").filter("_n <= _left")
+    full_after = seated.filter("_n = _left").select("lesson_id", F.col("_first").alias("_last"))
+    b = (batch.join(lessons.join(full_after, "lesson_id", "left"), "lesson_id", "left")
+         .join(seated.select(F.col("lesson_id").alias("_lesson"), F.col("student_id").alias("_student"), "_first"),
+               (F.col("lesson_id") == F.col("_lesson")) & F.col("student_id").eqNullSafe(F.col("_student")), "left"))
     reason = (F.when(F.col("capacity").isNull(), F.lit(R_NO_TYPE))
-              .when(taken > F.col("capacity"), F.lit(R_FULL))
-              .when(F.col("_dup"), F.lit(R_DUPLICATE)))
+              .when((F.col("_left") == 0) | F.coalesce(seq > F.col("_last"), F.lit(False)), F.lit(R_FULL))
+              .when(~F.coalesce(seq == F.col("_first"), F.lit(False)), F.lit(R_DUPLICATE)))
     return (b.withColumn("reason", reason)
             .withColumn("accepted", F.col("reason").isNull())
-            .drop("_in_target", "_same_before", "_dup", "_seats_before", "_existing"))
+            .drop("_left", "_last", "_lesson", "_student", "_first"))
 
 
 # --------------------------------------------------------------------------- R6 current price
@@ -304,8 +321,9 @@ def rental_admission_statement(batch: DataFrame, instrument: DataFrame, order: l
     """
     day = to_date(as_of)
     ea = active_counts(existing, day) if existing is not None else None
-    flagged = _rental_flags(batch, instrument, ea, day, limit, max_months, order, [statement])
-    rows = flagged.groupBy(statement).agg(F.count(F.lit(1)).alias("n_rows"))
+    needed = dict.fromkeys([statement, *order, "student_id", "instrument_id", "rental_start_time", "lease_expiry_time"])
+    flagged = _rental_flags(batch.select(*needed), instrument, ea, day, limit, max_months, order, [statement])
+    rows = batch.groupBy(statement).agg(F.count(F.lit(1)).alias("n_rows"))
     # first failure per statement, looked for among failing rows only
     first = (flagged.filter(F.col("_reason").isNotNull()).groupBy(statement)
              .agg(F.min(F.struct(*[F.col(c) for c in order], F.col("_reason"))).alias("_first")))
@@ -315,6 +333,24 @@ def rental_admission_statement(batch: DataFrame, instrument: DataFrame, order: l
                       *[F.col(f"_first.{c}").alias(f"failed_{c}") for c in order])
 
 
+def admission_rows(batch: DataFrame, columns: list, instrument: DataFrame, existing: DataFrame | None,
+                   day: _dt.date, limit: int, max_months: int) -> DataFrame:
+    """``columns`` of the batch with student and instrument, whether the lease passes the duration rule (``_r3``) and is
+    active, and what its student (``_places``) and its instrument (``_stock``) have left before the batch."""
+    rows = batch.select(
+        "student_id", "instrument_id", *[c for c in dict.fromkeys(columns) if c not in ("student_id", "instrument_id")],
+        F.coalesce(duration_ok("rental_start_time", "lease_expiry_time", max_months), F.lit(True)).alias("_r3"),
+        F.coalesce(_active("lease_expiry_time", day), F.lit(False)).alias("_is_active"))
+    rows = (rows.join(instrument.select("instrument_id", F.col("available_stock").cast("long").alias("_stock")),
+                      "instrument_id", "left")
+            .withColumn("_stock", F.coalesce("_stock", F.lit(0))))
+    if existing is None:
+        return rows.withColumn("_places", F.lit(limit).cast("long"))
+    return (rows.join(active_counts(existing, day), "student_id", "left")
+            .withColumn("_places", F.lit(limit) - F.coalesce("_existing_active", F.lit(0)))
+            .drop("_existing_active"))
+
+
 def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
                          existing: DataFrame | None = None, as_of=None, limit: int = DEFAULT_MAX_ACTIVE,
                          max_months: int = DEFAULT_MAX_MONTHS) -> DataFrame:
@@ -354,19 +390,7 @@ def rental_admission_row(batch: DataFrame, instrument: DataFrame, order: list,
     day = to_date(as_of)
     stages = Stages(batch.sparkSession, "rental-admission")
     pinned = stages.keep(batch.withColumn("_rid", F.monotonically_increasing_id()))
-    rows = pinned.select(
-        "_rid", "student_id", "instrument_id", *[c for c in order if c not in ("student_id", "instrument_id")],
-        F.coalesce(duration_ok("rental_start_time", "lease_expiry_time", max_months), F.lit(True)).alias("_r3"),
-        F.coalesce(_active("lease_expiry_time", day), F.lit(False)).alias("_is_active"))
-    rows = (rows.join(instrument.select("instrument_id", F.col("available_stock").cast("long").alias("_stock")),
-                      "instrument_id", "left")
-            .withColumn("_stock", F.coalesce("_stock", F.lit(0))))
-    if existing is None:
-        rows = rows.withColumn("_places", F.lit(limit).cast("long"))
-    else:
-        rows = (rows.join(active_counts(existing, day), "student_id", "left")
-                .withColumn("_places", F.lit(limit) - F.coalesce("_existing_active", F.lit(0)))
-                .drop("_existing_active"))
+    rows = admission_rows(pinned, ["_rid", *order], instrument, existing, day, limit, max_months)
     rows = range_buckets(rows, ["student_id"], order, "_b_student")
     rows = range_buckets(rows, ["instrument_id"], order, "_b_instrument")
     # each layout's boundary keys are fixed: mark them once

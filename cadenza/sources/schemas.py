@@ -7,7 +7,8 @@ values are trimmed at ingest.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 
 # The domain model's tables, columns and types.
 SCHEMAS: dict[str, str] = {
@@ -66,10 +67,40 @@ UNIQUE_COLUMNS: dict[str, tuple[str, ...]] = {
 LENGTH_LIMITS: dict[str, dict[str, int]] = {
     "person": {"person_number": 12, "first_name": 100, "last_name": 100},
     "email": {"email_id": 10, "email": 200},
-    "address_info": {"zip": 5, "street": 100, "city": 50},
-    "ensembles_lesson": {"genre": 10},
+    "person_email": {"email_id": 10},
+    "phone": {"phone_no": 200},
+    "address_info": {"address_id": 100, "zip": 5, "street": 100, "city": 50},
+    "person_address": {"address_id": 100},
+    "student": {"skill_level": 100},
+    "contact_person": {"relation": 100},
+    "discount": {"discount_id": 50},
+    "system_config": {"config_type": 50},
+    "instructor": {"lesson_type": 100},
+    "lesson_price_history": {"lesson_price_id": 50},
+    "lesson": {"lesson_id": 50, "instrument_type": 50, "lesson_price_id": 50},
+    "student_lessons": {"lesson_id": 50},
+    "individual_lesson": {"lesson_id": 50},
+    "group_lesson": {"lesson_id": 50},
+    "ensembles_lesson": {"lesson_id": 50, "genre": 10},
+    "instrument": {"instrument_id": 50, "instrument_type": 100, "instrument_brand": 100, "lesson_id": 50},
+    "rental_price_history": {"rental_price_id": 50, "instrument_id": 50},
+    "instrument_rental": {"rental_id": 100, "rental_price_id": 50, "instrument_id": 50},
+    "student_payment": {"payment_id": 50, "discount_id": 50, "rental_id": 100},
+    "instructor_salary": {"salary_payment_id": 50},
+    "history_lesson": {"lesson_id": 50, "lesson_type": 50, "genre": 50, "instrument": 50, "student_name": 200,
+                       "student_email": 200},
+}
+NULLABLE_COLUMNS: dict[str, tuple[str, ...]] = {
+    "student": ("skill_level",), "instructor": ("total_lessons_taught",),
+    "lesson": ("instrument_type", "lesson_price_id"), "ensembles_lesson": ("current_students",),
+    "instrument": ("lesson_id",), "student_payment": ("discount_id", "rental_id"),
+    "history_lesson": ("genre", "instrument"),
+}
+CHECKS: dict[str, tuple[str, ...]] = {
+    "sibling": ("student_id <> sibling_id",), "lesson_price_history": ("end_date > start_date",),
 }
 DIFFICULTY_LEVELS = ("beginner", "intermediate", "advanced")
+ENUM_COLUMNS: dict[str, dict[str, tuple[str, ...]]] = {"lesson": {"difficulty_level": DIFFICULTY_LEVELS}}
 CONFIG_KEYS = ("max_rental_duration_months", "max_active_rentals_per_student")
 
 
@@ -119,6 +150,31 @@ DOMAIN_FOREIGN_KEYS: tuple[ForeignKey, ...] = (
     _fk("instructor_salary", "instructor_id", "instructor", "instructor_id"),
 )
 
+@dataclass(frozen=True)
+class TableRules:
+    """Declared constraints of one table; ``check`` holds SQL conditions, ``unique`` single columns."""
+
+    primary_key: tuple[str, ...] = ()
+    unique: tuple[str, ...] = ()
+    not_null: tuple[str, ...] = ()
+    check: tuple[str, ...] = ()
+    length: dict[str, int] = field(default_factory=dict)
+    domain: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+
+def columns_of(table: str) -> list[str]:
+    """Column names of a domain table, in order."""
+    return [part.split()[0] for part in re.split(r",(?![^(]*\))", SCHEMAS[table])]
+
+
+#: Every constraint of the 25 domain tables; all columns are NOT NULL but the nullable ones.
+DOMAIN_RULES: dict[str, TableRules] = {
+    t: TableRules(PRIMARY_KEYS[t], UNIQUE_COLUMNS.get(t, ()),
+                  tuple(c for c in columns_of(t) if c not in NULLABLE_COLUMNS.get(t, ())),
+                  CHECKS.get(t, ()), LENGTH_LIMITS.get(t, {}), ENUM_COLUMNS.get(t, {}))
+    for t in SCHEMAS
+}
+
 # The test tables' key graph, used by the audits and the cascade on /root/testdata.
 TPCH_PRIMARY_KEYS: dict[str, tuple[str, ...]] = {
     "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",),
@@ -134,3 +190,14 @@ TPCH_FOREIGN_KEYS: tuple[ForeignKey, ...] = (
     _fk("lineitem", "l_partkey", "part", "p_partkey"),
     _fk("lineitem", "l_suppkey", "supplier", "s_suppkey"),
 )
+#: Constraints stated for the test tables, some of which their rows break.
+TPCH_RULES: dict[str, TableRules] = {
+    "region": TableRules(("r_regionkey",), ("r_name",), ("r_name",)),
+    "nation": TableRules(("n_nationkey",), ("n_name",), ("n_name", "n_regionkey")),
+    "customer": TableRules(("c_custkey",), (), ("c_nationkey",), ("c_acctbal >= 0",)),
+    "supplier": TableRules(("s_suppkey",), (), ("s_nationkey",)),
+    "part": TableRules(("p_partkey",), ("p_name",), ("p_name",), ("p_size BETWEEN 1 AND 50",), {"p_name": 10}),
+    "orders": TableRules(("o_orderkey",), (), ("o_custkey", "o_orderdate"), (), {}, {"o_orderstatus": ("F", "O", "P")}),
+    "lineitem": TableRules(("l_orderkey", "l_linenumber"), (), ("l_partkey", "l_suppkey"),
+                           ("l_quantity > 0", "l_extendedprice > l_quantity"), {}, {"l_returnflag": ("A", "N")}),
+}
