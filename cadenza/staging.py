@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from cadenza.session import ensure_checkpoint_dir
 
 
-def _path(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """``path`` as a Hadoop path, and the store it is in."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove ``path`` with all it holds, in whatever store it is."""
-    hadoop, fs = _path(spark, path)
+    hadoop, fs = file_system(spark, path)
     fs.delete(hadoop, True)
 
 
@@ -35,7 +36,7 @@ class Stages:
         self.spark, self.n = spark, 0
         self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._kept: dict[int, tuple[DataFrame, str]] = {}
-        hadoop, fs = _path(spark, self.folder)
+        hadoop, fs = file_system(spark, self.folder)
         fs.deleteOnExit(hadoop)
 
     def keep(self, df: DataFrame) -> DataFrame:
