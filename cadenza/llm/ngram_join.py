@@ -6,7 +6,8 @@ counts fold to coarser ones by sums); a document is the point of its group count
 overlap of two sets is at most the sum of the coordinate minima of their points,
 and for two tree nodes at most that sum over their boxes' upper corners, so an
 R-tree over points drops pairs and whole subtrees that cannot reach the threshold.
-Trees hold coarse counts; pairs that pass meet the bound of the fine counts next.
+Trees hold coarse counts; pairs that pass meet the bound of the fine counts before
+they leave the task.
 
 One tree over all documents would grow quadratic work (in many dimensions the
 boxes of a large corpus overlap), so trees are built in cells: two sets with
@@ -67,7 +68,7 @@ def prefix_length(n: int) -> int:
 
 
 def group_counts(s: np.ndarray) -> bytes:
-    """Counts by group in four bits each where all fit, else in 32, compressed; the groups are low bits of the hash."""
+    """Counts by group in four bits each where all fit, else in 32; the groups are low bits of the hash."""
     n = LEAST_GROUPS
     while n < len(s):
         n *= 2
@@ -75,35 +76,46 @@ def group_counts(s: np.ndarray) -> bytes:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    if counts.max() < 16:
-        return b"\4" + zlib.compress((counts[0::2] | counts[1::2] << 4).astype("u1").tobytes(), 1)
-    return b"\x20" + zlib.compress(counts.astype("<u4").tobytes(), 1)
+    """A kind byte and the counts: half bytes where all fit, coded by their frequencies if that is shorter, else 32 bits."""
+    if counts.max() >= 16:
+        return b"\x20" + zlib.compress(counts.astype("<u4").tobytes(), 1)
+    halves = (counts[0::2] | counts[1::2] << 4).astype("u1").tobytes()
+    coder = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    coded = coder.compress(halves) + coder.flush()
+    return b"\4" + coded if len(coded) < len(halves) else b"\1" + halves
 
 
 def unpacked(counts: bytes) -> np.ndarray:
-    if counts[:1] == b"\4":
-        two = np.frombuffer(zlib.decompress(counts[1:]), dtype="u1")
-        return np.stack([two & 15, two >> 4], axis=1).ravel().astype(np.int32)
-    return np.frombuffer(zlib.decompress(counts[1:]), dtype="<u4").astype(np.int32)
+    kind, rest = counts[0], counts[1:]
+    if kind == 0x20:
+        return np.frombuffer(zlib.decompress(rest), dtype="<u4").astype(np.int32)
+    two = np.frombuffer(zlib.decompress(rest, -15) if kind == 4 else rest, dtype="u1")
+    return np.stack([two & 15, two >> 4], axis=1).ravel()          # a byte each, since cells hold many
 
 
 def folded(points: list[np.ndarray]) -> np.ndarray:
     """Points in as many groups as the coarsest has."""
     n = min(map(len, points))
-    return np.stack([p if len(p) == n else p.reshape(-1, n).sum(axis=0) for p in points])
+    return np.stack([p if len(p) == n else p.reshape(-1, n).sum(axis=0, dtype=np.int32) for p in points]).astype(np.int32)
 
 
-def coarse(points: DataFrame) -> DataFrame:
-    """(node, n_shingles, counts) with fewer groups: bounds are weaker, hold all the same, and less moves to the cells."""
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for counts in map(unpacked, b.column(2).to_pylist()):
-                n = max(LEAST_GROUPS, len(counts) // COARSE)
-                out.append(packed(counts.reshape(-1, n).sum(axis=0)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["node", "n_shingles", "counts"])
+def added_up(counts: np.ndarray) -> np.ndarray:
+    """Counts of fewer groups: the bound is weaker, holds all the same, and takes less to compute."""
+    n = max(LEAST_GROUPS, len(counts) // COARSE)
+    return counts.reshape(-1, n).sum(axis=0, dtype=np.int32)
+
 
-    return points.select("node", "n_shingles", "counts").mapInArrow(added, "node long, n_shingles long, counts binary")
+def fine_bound(fine: list[np.ndarray], sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the pairs (a[i], b[i]) of points reach their needed overlap in all the groups that both have."""
+    groups = np.array([len(f) for f in fine])
+    common, keep = np.minimum(groups[a], groups[b]), np.zeros(len(a), dtype=bool)
+    for n in np.unique(common):
+        for at in np.array_split(np.flatnonzero(common == n), max(1, int((common == n).sum()) * int(n) >> 22)):
+            rows, inverse = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+            points = np.stack([fine[r].reshape(-1, n).sum(axis=0, dtype=np.int32) for r in rows])
+            bound = np.minimum(points[inverse[:len(at)]], points[inverse[len(at):]]).sum(axis=1)
+            keep[at] = bound >= needed_overlap(sizes[a[at]], sizes[b[at]])
+    return keep
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
@@ -260,7 +272,8 @@ def tree_join(a: Tree, b: Tree, same: bool) -> list[tuple[int, int]]:
 def cell_pairs(cells: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of the cells' rows (cell, part, side, node, component, n_shingles, counts).
 
-    Rows arrive sorted by (cell, part); side 0 joins itself, sides 1 and 2 join each other.
+    Rows arrive sorted by (cell, part); side 0 joins itself, sides 1 and 2 join each other. The trees bound with
+    counts of few groups; what passes must pass the bound of all groups before it leaves the task.
     """
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -271,7 +284,8 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
             ids = [r[1] for r in held]
             groups = np.unique(np.array([r[2] for r in held]), return_inverse=True)[1]
             sizes = np.array([r[3] for r in held], dtype=np.int64)
-            points = folded([unpacked(r[4]) for r in held])
+            fine = [unpacked(r[4]) for r in held]
+            points = folded([added_up(f) for f in fine])
             if side.max() == 0:
                 tree = Tree(points, sizes, groups)
                 found = tree_join(tree, tree, True)
@@ -281,7 +295,11 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
                     return None
                 found = [(one[i], two[j]) for i, j in tree_join(
                     *(Tree(points[w], sizes[w], groups[w]) for w in (one, two)), False)]
-            pairs = [(ids[i], ids[j]) for i, j in found]
+            if not found:
+                return None
+            i, j = (np.array(x) for x in zip(*found))
+            fits = fine_bound(fine, sizes, i, j)
+            pairs = [(ids[x], ids[y]) for x, y in zip(i[fits], j[fits])]
             if not pairs:
                 return None
             a, b = zip(*((min(p), max(p)) for p in pairs))
@@ -360,15 +378,13 @@ def linked_nodes(signed: DataFrame, texts: DataFrame) -> DataFrame:
     first = components(links)
     placed = shared.join(first, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("component"))
     placed = stage(placed.join(points.select("node", "n_shingles"), "node"))
-    candidates = stage(cell_pairs(blocked(placed).join(coarse(points), "node")))
-    met = stage(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    fine = points.join(bounded_broadcast(met, MAX_BROADCAST_IDS), "node", "left_semi")
-    candidates = stage(within_bound(candidates, fine))
+    candidates = stage(cell_pairs(blocked(placed).join(points.select("node", "n_shingles", "counts"), "node")))
     return components(stage(links.unionByName(verified(candidates, places, texts))))
 
 
 def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) for every row of ``docs``; th is the text's hash."""
+    """(doc_id, th, n_shingles, component, component_id) for every row of ``docs``; th is the text's hash, component
+    the linked sets' own number (null without shingles), which tells apart texts that share an id."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     signed = stage(signatures(texts))
     linked = bounded_broadcast(linked_nodes(signed, texts), MAX_BROADCAST_IDS)
@@ -378,30 +394,36 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = stage(rows.groupBy("component").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
                    .where("n > 1 AND component IS NOT NULL").drop("n"))
     return (rows.join(bounded_broadcast(groups, MAX_BROADCAST_IDS), "component", "left")
-            .select("doc_id", "th", "n_shingles", F.coalesce("first", "doc_id").alias("component_id")))
+            .select("doc_id", "th", "n_shingles", "component", F.coalesce("first", "doc_id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``; component_id is the smallest linked id."""
-    return linked_rows(docs, id_col, text_col).drop("th")
+    return linked_rows(docs, id_col, text_col).drop("th", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that with the smallest id (of rows that repeat it, one).
+    """``docs`` with one row of each component, that with the smallest id (of its texts and repeats, one).
 
-    Rows without an id stay.
+    Rows without an id stay; a row without shingles is a component of its own with its repeats; texts that share an id
+    but not a component stay both.
     """
-    found = stage(linked_rows(docs, id_col, text_col).where("doc_id IS NOT NULL"))
-    # one text hash per id that stays; everything else goes
-    stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("th").alias("s_th")).withColumnRenamed("doc_id", "s_id")
-    gone = (found.join(stays, (F.col("doc_id") == F.col("s_id")) & (F.col("th") == F.col("s_th")), "left_anti")
-            .select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct())
+    alone = F.when(F.col("component").isNull(), F.struct("doc_id", "th"))
+    found = stage(linked_rows(docs, id_col, text_col).where("doc_id IS NOT NULL")
+                  .select("doc_id", "th", F.struct("component", alone.alias("alone")).alias("g")))
+    stays = (found.groupBy("g").agg(F.min(F.struct("doc_id", "th")).alias("s"), F.count("*").alias("n"))
+             .where("n > 1").select("g", F.col("s.doc_id").alias("s_id"), F.col("s.th").alias("s_th")))
+    grouped = stage(found.join(bounded_broadcast(stage(stays.withColumnRenamed("g", "s_g")), MAX_BROADCAST_IDS), F.col("g").eqNullSafe(F.col("s_g"))))
+    stayed = (F.col("doc_id") == F.col("s_id")) & (F.col("th") == F.col("s_th"))
+    gone = grouped.where(~stayed).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).distinct()
     gone = bounded_broadcast(stage(gone), MAX_BROADCAST_IDS)
     kept = (docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"))
             .join(gone, (F.col("_id") == F.col("g_id")) & (F.col("_th") == F.col("g_th")), "left_anti"))
     # rows repeated as a whole are few; only they are shuffled
-    twice = found.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("_twice")).distinct()
+    twice = (grouped.where(stayed).groupBy("doc_id", "th").count().where("count > 1")
+             .select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th")))
     twice = bounded_broadcast(stage(twice), MAX_BROADCAST_IDS)
-    once = kept.join(twice, F.col("_id") == F.col("_twice"), "left_anti")
-    firsts = kept.join(twice, F.col("_id") == F.col("_twice"), "left_semi").dropDuplicates(["_id"])
+    repeated = (F.col("_id") == F.col("t_id")) & (F.col("_th") == F.col("t_th"))
+    once = kept.join(twice, repeated, "left_anti")
+    firsts = kept.join(twice, repeated, "left_semi").dropDuplicates(["_id", "_th"])
     return once.unionByName(firsts).select("_row.*")
