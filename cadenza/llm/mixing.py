@@ -7,8 +7,8 @@ refined, twice, down to a single 32-bit hash value. Rows are then kept by
 comparing their hash with the threshold, without a sort.
 
 Defined results: a null text has size 0; null is a source of its own, last in
-order; rows of size 0 are taken zero words; rows with one id share a hash and so
-are taken alike; an empty table, or one without words, takes nothing.
+order; rows of size 0 are taken zero words; rows with one id and text share a hash
+and so are taken alike (ids that are null or repeated do not); an empty table, or one without words, takes nothing.
 """
 
 from __future__ import annotations
@@ -25,15 +25,17 @@ LEVELS = ((21, 2048), (10, 2048), (0, 1024))     # shift and bucket count: 32 bi
 MAX_BROADCAST_SOURCES = 100_000
 
 
-def hash32(c: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+def hash32(doc_id: Column, text: Column) -> Column:
+    """32 bits of a row's id and whole text."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 8), 16, 10).cast("long")
 
 
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, h): words of the whole text and the 32-bit hash that thresholds cut."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                      F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                     hash32(F.col(id_col)).alias("h"))
+                     hash32(F.col(id_col), F.col(text_col)).alias("h"))
 
 
 def source_targets(rows: DataFrame) -> DataFrame:
@@ -110,6 +112,6 @@ def mix(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with every row as often as the mix takes it; all columns kept."""
     plan = mix_plan(stage(sized(docs, id_col, text_col, source_col)))
-    keyed = docs.select(F.struct("*").alias("_row"), F.col(source_col).alias("source"), hash32(F.col(id_col)).alias("h"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(source_col).alias("source"), hash32(F.col(id_col), F.col(text_col)).alias("h"))
     taken = mix(keyed, plan).where("copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")

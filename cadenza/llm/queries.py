@@ -16,7 +16,7 @@ ORACLE: dict[str, str] = {}
 MIX_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 8) AS BIGINT) AS h
   FROM documents),
 by_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS s,
