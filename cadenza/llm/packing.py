@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,14 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEQ_LEN = 2048
 POOL_TOKENS = 1 << 20
+# the pattern looks ahead over white space word by word on a stack; longer runs are cut, which loses nothing
+LONG_SPACE = re.compile(r"(?s)\s{1024}")
+
+
+def pieces(text: str) -> list[str]:
+    """``text`` cut after every 1,024 characters of one run of white space; joined they are the text."""
+    cuts = [0, *(m.end() for m in LONG_SPACE.finditer(text)), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 class Rooms:
@@ -130,7 +139,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str =
         for b in batches:
             kept_type = b.column(0).type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.array(encoding.encode_ordinary(text.as_py()) + [end_id], dtype=kind)
+                ids = np.array([i for piece in pieces(text.as_py()) for i in encoding.encode_ordinary(piece)] + [end_id], dtype=kind)
                 pool.append((doc_id, ids))
                 held += len(ids)
                 if held >= POOL_TOKENS:
@@ -143,9 +152,10 @@ def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str =
                                    f"doc_ids array<{id_type}>, doc_offsets array<long>")
 
 
-def unpack_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, doc_offset, piece binary) for every segment of packed rows."""
-    width = F.length("ids") / F.lit(SEQ_LEN)
+def unpack_rows(rows: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
+    """(doc_id, doc_offset, piece binary) for every segment of rows packed with ``seq_len``; another one is an error."""
+    width = F.length("ids") / F.lit(seq_len)
+    width = F.when(width.isin(2, 4), width).otherwise(F.raise_error(F.lit(f"the rows were not packed with seq_len={seq_len}")))
     return (rows.select("ids", F.length("ids").alias("n"), "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "doc_offsets")).alias("i", "s"))
             .select(F.col("s.doc_ids").alias("doc_id"), F.col("s.doc_offsets").alias("doc_offset"), "ids",
                     width.cast("int").alias("w"), F.get("cu_seqlens", F.col("i")).alias("a"), F.get("cu_seqlens", F.col("i") + 1).alias("b"))
