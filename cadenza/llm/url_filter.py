@@ -118,14 +118,15 @@ def judge_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default: s
     rules = stage(rules.where("key IS NOT NULL").distinct())
     lengths = [r["n"] for r in rules.select("n").distinct().orderBy("n").collect()]    # path lengths, not rules
     host, path = host_and_path(F.col(url_col))
-    out = df.withColumns({"host": host, "path": path})
+    replaced = ("host", "path", "rule", "verdict")
+    out = df.select(F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in df.columns if c not in replaced]).alias("_row"),
+                    host.alias("host"), path.alias("path"))
     keys = url_keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>")
     universe = stage(out.select(F.explode(keys).alias("key")).distinct())
     cascades = {v: Cascade(rules.where(F.col("verdict") == v).select("key"), universe) for v in ("block", "allow")}
     arrays = {v: c.arrays() for v, c in cascades.items()}
     for v, columns in arrays.items():
         out = out.withColumns({f"_{v}_{i}": a for i, a in enumerate(columns)})
-    temp = [f"_{v}_{i}" for v, columns in arrays.items() for i in range(len(columns))]
 
     def listed(verdict: str):
         columns = [F.col(f"_{verdict}_{i}") for i in range(len(arrays[verdict]))]
@@ -139,4 +140,4 @@ def judge_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default: s
     return out.withColumns({
         "rule": F.when(blocks, F.col("_block.key")).otherwise(F.col("_allow.key")),
         "verdict": F.when(blocks, F.lit("block")).when(F.col("_allow").isNotNull(), F.lit("allow")).otherwise(F.lit(default)),
-    }).drop("_keys", "_block", "_allow", *temp)
+    }).select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in replaced], *replaced)
