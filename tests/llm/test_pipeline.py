@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from cadenza.llm import toxicity
 from tests.llm.test_operators import SCHEMA, groups_of, prose, shingles
 
 TOXIC = ("vexqwort", "zzplonk", "quxbane")
@@ -102,15 +103,16 @@ def test_run_matches_plain_python(spark, tmp_path):
     assert out.columns == [c for c in names if c != "shard"] + ["shard", "slot"]
     got = out.collect()
 
-    def is_toxic(r):
-        return any(w in (r[1] or "") for w in TOXIC)
-
-    kept = _without_near_duplicates([r for r in rows if not is_toxic(r)])
+    # the trained model's own word on each row (held-out accuracy is tested elsewhere); everything after it in plain Python
+    said = toxicity.score_toxicity(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")))
+    rejected = {r["doc_id"] for r in said.where("predicted = 1").collect()}
+    assert rejected <= toxic and len(rejected) >= 0.7 * len(toxic)
+    kept = _without_near_duplicates([r for r in rows if r[0] not in rejected])
     kept = [r for r in kept if not any(item in (r[1] or "") for _k, item in items)]
     want = _mixed(kept)
     assert Counter((r["doc_id"], r["text"], r["source"], r["_row"]) for r in got) == Counter((r[0], r[1], r[3], r[7]) for r in want)
     ids = {r["doc_id"] for r in got}
-    assert not ids & (toxic | leaked) and not ids & {1002, 2002, 1003, 2003}
+    assert not ids & (rejected | leaked | {2002, 2003, 2005, 2006, 2007})
     sizes = Counter(r["shard"] for r in got)
     assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
     for s, n in sizes.items():
