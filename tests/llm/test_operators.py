@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cadenza.llm import (decontaminate, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, packing, sharding, toxicity, url_filter)
 from cadenza.llm.common import components
 from cadenza.llm.queries import EXACT_SQL, MIX_SQL, URL_SQL
+from cadenza.llm.wordhash import mix, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, _row string"
 WORDS = [a + b for a in "ba ke li mo nu pra sti tro".split() for b in "dan fel gor hin jup".split()]
@@ -127,8 +128,8 @@ def test_line_dedup(spark, docs):
 
 
 @pytest.mark.parametrize("large,block", [(line_dedup.LARGE, line_dedup.BLOCK), (4, 3)])
-def test_line_dedup_meets_every_similar_pair(spark, monkeypatch, large, block):
-    """Against edit similarity of all pairs, with 1 to 20 % of the words changed; also with cells split early and dealt in small blocks."""
+def test_line_dedup_recall(spark, monkeypatch, large, block):
+    """Against edit similarity of all pairs, with 1 to 20 % of the words changed; also with cells cut into blocks early and dealt in small parts."""
     monkeypatch.setattr(line_dedup, "LARGE", large)
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(12)
@@ -153,7 +154,48 @@ def test_line_dedup_meets_every_similar_pair(spark, monkeypatch, large, block):
             first.setdefault(want[line_dedup.line_id(" ".join(w).encode())], i)
     dropped = {i for i, w in enumerate(lines) if w and first[want[line_dedup.line_id(" ".join(w).encode())]] != i}
     got = {r["doc_id"] + n for r in line_dedup.repeated_lines(docs).collect() for n in r["dropped"]}
-    assert len(dropped) > 150 and got == dropped
+    assert len(dropped) > 150 and got <= dropped and len(got) >= 0.97 * len(dropped)
+
+
+def test_simhash_equals_plain_sum():
+    lines = [b"a b c d e " * 120, b"", b"x y z", b"x y"]
+    tokens, at = word_hashes(lines)
+    got = line_dedup.simhashes(tokens, at)
+    for k in range(len(lines)):
+        for w in range(line_dedup.BITS // 64):
+            hashed = [int(x) for x in mix(tokens[at[k]:at[k + 1]] + np.uint64(w + 1))]
+            assert int(got[k, w]) == sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in hashed) > len(hashed))
+
+
+def test_simhash_blocks_meet_similar_lines():
+    """Pairs of 5 to 90 words at edit similarity 0.8 and more, by how much of them differs: radius, cells and blocks together."""
+    rng, common = random.Random(3), np.random.default_rng(1)
+    word = lambda: f"w{min(29999, int(common.pareto(0.8) * 3))}"
+    pairs = []
+    while len(pairs) < 3000:
+        a = [word() for _ in range(rng.randint(5, 90))]
+        b = list(a)
+        for _ in range(max(1, round(rng.uniform(0.01, 0.2) * len(a)))):
+            at = rng.randrange(len(b))
+            b[at:at + 1] = rng.choice([[word()], [word()], [], [b[at], word()]])
+        share = line_dedup.edit_distance(a, b, 99) / max(len(a), len(b))
+        if 0 < share <= 0.2:
+            pairs.append((a, b, share))
+    lines = [" ".join(x).encode() for side in (0, 1) for x in (p[side] for p in pairs)]
+    buckets = (word_hashes(lines)[0] >> np.uint64(64 - line_dedup.BUCKET_BITS)).astype(np.int64)
+    cells, simhash = line_dedup.signatures(lines, np.bincount(buckets, minlength=1 << line_dedup.BUCKET_BITS))
+    cells, half = cells.to_pylist(), len(pairs)
+    blocks = simhash.view(np.uint8).reshape(len(lines), -1)
+    met, met_in_blocks = [], []
+    for i, (a, b, _) in enumerate(pairs):
+        bits = int(np.bitwise_count(simhash[i] ^ simhash[half + i]).sum())
+        near = bits <= line_dedup.radius(np.int64(max(len(a), len(b))), np.int64(min(len(a), len(b))))
+        met.append(near and bool(set(cells[i]) & set(cells[half + i])))
+        met_in_blocks.append(met[-1] and bool((blocks[i] == blocks[half + i]).any()))
+    share = np.array([p[2] for p in pairs])
+    for low, high in ((0, 0.05), (0.05, 0.1), (0.1, 0.15), (0.15, 0.2)):
+        part = (share > low) & (share <= high)
+        assert part.sum() > 300 and np.mean(np.array(met)[part]) > 0.985 and np.mean(np.array(met_in_blocks)[part]) > 0.975
 
 
 def test_edit_distance():
