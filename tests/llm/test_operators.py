@@ -127,9 +127,10 @@ def test_line_dedup(spark, docs):
     assert line_dedup.repeated_lines(docs).count() == docs.count()
 
 
-@pytest.mark.parametrize("large,block", [(line_dedup.LARGE, line_dedup.BLOCK), (4, 3)])
-def test_line_dedup_recall(spark, monkeypatch, large, block):
+@pytest.mark.parametrize("split,large,block", [(line_dedup.SPLIT, line_dedup.LARGE, line_dedup.BLOCK), (8, 4, 3)])
+def test_line_dedup_recall(spark, monkeypatch, split, large, block):
     """Against edit similarity of all pairs, with 1 to 20 % of the words changed; also with cells cut into blocks early and dealt in small parts."""
+    monkeypatch.setattr(line_dedup, "SPLIT", split)
     monkeypatch.setattr(line_dedup, "LARGE", large)
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(12)
