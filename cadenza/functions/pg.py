@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,9 +73,16 @@ def in_month(d, as_of: _dt.date) -> Column:
     return (_c(d) >= F.lit(first)) & (_c(d) < F.lit(nxt))
 
 
+def session_date(spark: SparkSession) -> _dt.date:
+    """CURRENT_DATE of the session, in its time zone."""
+    return spark.range(1).select(F.current_date()).first()[0]
+
+
 def to_date(value: _dt.date | str | None) -> _dt.date:
+    """The date given, or CURRENT_DATE of the active session."""
     if value is None:
-        return _dt.date.today()
+        spark = SparkSession.getActiveSession()
+        return session_date(spark) if spark else _dt.date.today()
     if isinstance(value, str):
         return _dt.date.fromisoformat(value)
     return value

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.integrity import key_text
 from cadenza.session import ensure_checkpoint_dir
 from cadenza.sources.schemas import ForeignKey
 
@@ -128,9 +129,9 @@ def restrict_violations(tables: dict[str, DataFrame], fks, root: str, where: Col
         blocked = child.join(keys, cond, "left_semi")
         parts.append(blocked.select(
             F.lit(fk.child).alias("child_table"),
-            F.concat_ws(",", *[F.col(c).cast("string") for c in primary_keys[fk.child]]).alias("child_key"),
+            key_text(primary_keys[fk.child]).alias("child_key"),
             F.lit(fk.parent).alias("parent_table"),
-            F.concat_ws(",", *[F.col(c).cast("string") for c in fk.child_cols]).alias("parent_key")))
+            key_text(fk.child_cols).alias("parent_key")))
     if not parts:
         raise ValueError("no restricting foreign key reaches the deleted rows")
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import pg_concat, whole_days
-from cadenza.sources.sinks import assert_unique
+from cadenza.sources.sorted_store import write_sorted
 
 HISTORY_COLUMNS = ("lesson_id", "student_id", "lesson_type", "genre", "instrument", "lesson_price",
                    "student_name", "student_email")
+HISTORY_ORDER = ("student_id", "lesson_id", "lesson_type", "student_email")
 
 
 def _tagged_subtypes(individual: DataFrame, group: DataFrame, ensemble: DataFrame) -> DataFrame:
@@ -63,6 +64,11 @@ def lesson_history_report(history: DataFrame) -> DataFrame:
     return history.orderBy("student_id", "lesson_id", "lesson_type")
 
 
+def store_lesson_history(history: DataFrame, path: str, ranges: int | None = None) -> None:
+    """Write the history sorted across files; ``sorted_store.read_sorted`` and ``read_page`` read it without a sort."""
+    write_sorted(history, path, HISTORY_ORDER, ranges)
+
+
 def payment_denorm(payment: DataFrame, rental: DataFrame, instrument: DataFrame,
                    check_rental_key: bool = True) -> DataFrame:
     """Adds instrument_name and rental_duration (whole days) to each payment.

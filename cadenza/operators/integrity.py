@@ -57,6 +57,12 @@ def length_violations(df: DataFrame, column: str, max_len: int) -> DataFrame:
     return df.filter(F.length(column) > max_len).withColumn("length", F.length(column))
 
 
+def key_text(columns) -> Column:
+    """A key as text: its values joined by commas; in composite keys a comma or backslash of a value is escaped."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat_ws(",", *(texts if len(texts) == 1 else [F.regexp_replace(t, r"([,\\])", r"\\$1") for t in texts]))
+
+
 def fk_violations(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
     """FOREIGN KEY: child key values (NULL passes) with no parent row, with their row counts.
 
@@ -72,7 +78,7 @@ def fk_violations(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFr
     return orphans.select(F.lit(fk.child).alias("child_table"),
                           F.lit(",".join(cc)).alias("child_columns"),
                           F.lit(fk.parent).alias("parent_table"),
-                          F.concat_ws(",", *[F.col(c).cast("string") for c in cc]).alias("key_value"),
+                          key_text(cc).alias("key_value"),
                           "n")
 
 

@@ -120,14 +120,15 @@ def stock_after(instrument: DataFrame, admitted: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- R2 active rentals
 
-def _active(expiry: str, as_of: _dt.date) -> Column:
+def is_active(expiry: str, as_of: _dt.date) -> Column:
+    """Whether a rental is active on the day; NULL without an expiry."""
     # lease_expiry_time >= CURRENT_DATE: the date compares as midnight of as_of
     # a DATE literal, so neither the session's nor the driver's time zone moves the edge
     return F.col(expiry) >= F.lit(as_of).cast("timestamp_ntz")
 
 
 def active_counts(existing: DataFrame, as_of: _dt.date) -> DataFrame:
-    return (existing.filter(_active("lease_expiry_time", as_of))
+    return (existing.filter(is_active("lease_expiry_time", as_of))
             .groupBy("student_id").agg(F.count(F.lit(1)).alias("_existing_active")))
 
 
@@ -146,7 +147,7 @@ def active_rental_limit(existing: DataFrame, batch: DataFrame, order: list, as_o
     day = to_date(as_of)
     limit = _setting(limit, CONFIG_MAX_ACTIVE)
     seq = F.struct(*[F.col(c) for c in order])
-    first = (batch.filter(_active("lease_expiry_time", day)).select("student_id", seq.alias("_last"))
+    first = (batch.filter(is_active("lease_expiry_time", day)).select("student_id", seq.alias("_last"))
              .withColumn("_n", F.row_number().over(Window.partitionBy("student_id").orderBy("_last")))
              .filter(F.col("_n") <= F.lit(limit)))
     counts = active_counts(existing.filter(F.col("student_id").isNotNull()), day)
@@ -292,7 +293,7 @@ def _rental_flags(b: DataFrame, instrument: DataFrame, existing_active: DataFram
                   limit: int, max_months: int, order: list, scope: list[str]) -> DataFrame:
     """Per-row first failing trigger, counting every earlier row of the same ``scope``
     as accepted (exact up to a statement's first failure)."""
-    b = b.withColumn("_is_active", _active("lease_expiry_time", as_of))
+    b = b.withColumn("_is_active", is_active("lease_expiry_time", as_of))
     b = earlier_count(b, scope + ["student_id"], order, flag="_is_active", out="_act_before")
     b = earlier_count(b, scope + ["instrument_id"], order, out="_ins_before")
     b = b.join(instrument.select("instrument_id", "available_stock"), "instrument_id", "left")
@@ -340,7 +341,7 @@ def admission_rows(batch: DataFrame, columns: list, instrument: DataFrame, exist
     rows = batch.select(
         "student_id", "instrument_id", *[c for c in dict.fromkeys(columns) if c not in ("student_id", "instrument_id")],
         F.coalesce(duration_ok("rental_start_time", "lease_expiry_time", max_months), F.lit(True)).alias("_r3"),
-        F.coalesce(_active("lease_expiry_time", day), F.lit(False)).alias("_is_active"))
+        F.coalesce(is_active("lease_expiry_time", day), F.lit(False)).alias("_is_active"))
     rows = (rows.join(instrument.select("instrument_id", F.col("available_stock").cast("long").alias("_stock")),
                       "instrument_id", "left")
             .withColumn("_stock", F.coalesce("_stock", F.lit(0))))
@@ -504,7 +505,7 @@ def rental_update_check(existing: DataFrame, updates: DataFrame, as_of=None,
     """
     day = to_date(as_of)
     limit, max_months = _setting(limit, CONFIG_MAX_ACTIVE), _setting(max_months, CONFIG_MAX_MONTHS)
-    act = existing.filter(_active("lease_expiry_time", day)).select("student_id", "rental_id")
+    act = existing.filter(is_active("lease_expiry_time", day)).select("student_id", "rental_id")
     counts = act.groupBy("student_id").agg(F.count(F.lit(1)).alias("_n"))
     u = updates.join(counts, "student_id", "left")
     if exclude_self:

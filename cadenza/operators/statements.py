@@ -131,7 +131,7 @@ def rental_update_statements(existing: DataFrame, updates: DataFrame, order: lis
     """
     day = to_date(as_of)
     limit, max_months = rules._setting(limit, rules.CONFIG_MAX_ACTIVE), rules._setting(max_months, rules.CONFIG_MAX_MONTHS)
-    active = F.coalesce(rules._active("lease_expiry_time", day), F.lit(False))
+    active = F.coalesce(rules.is_active("lease_expiry_time", day), F.lit(False))
     old = existing.select("rental_id", F.col("student_id").alias("_old_student"), active.alias("_old_active"))
     sequence = [c for c in order if c != statement]
     done = updates.join(old, "rental_id").select(

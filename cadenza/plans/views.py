@@ -18,8 +18,11 @@ from cadenza.operators import reports
 
 
 def register_views(tables: dict[str, DataFrame], year: int, as_of: _dt.date | str | None = None,
-                   min_lessons: int = 0) -> list[str]:
-    """Register ``tables`` (domain names) and the report views; returns the view names."""
+                   min_lessons: int = 0, instructor_lesson: DataFrame | None = None) -> list[str]:
+    """Register ``tables`` (domain names) and the report views; returns the view names.
+
+    ``instructor_lesson``: the lessons that instructors are counted by, if not ``lesson``.
+    """
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     t = tables
@@ -28,7 +31,7 @@ def register_views(tables: dict[str, DataFrame], year: int, as_of: _dt.date | st
             t["lesson"], t["individual_lesson"], t["group_lesson"], t["ensembles_lesson"], year),
         "StudentSiblingSummary": reports.student_sibling_summary(t["student"], t["sibling"]),
         "InstructorLessonSummary": reports.instructor_lesson_summary(
-            t["instructor"], t["person"], t["lesson"], as_of, min_lessons),
+            t["instructor"], t["person"], t["lesson"] if instructor_lesson is None else instructor_lesson, as_of, min_lessons),
         "EnsemblesNextWeekSummary": reports.ensembles_next_week(
             t["lesson"], t["ensembles_lesson"], t["student_lessons"], as_of),
     }
