@@ -52,12 +52,15 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int, bytes_of: Column | None = None, max_bytes: int = 64 << 20) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
 
     ``df`` should be cheap to count (staged, or a small table). Beyond the bound
-    Spark chooses a shuffle join, which AQE can split on hot keys.
+    Spark chooses a shuffle join, which AQE can split on hot keys. For rows of no
+    fixed width ``bytes_of`` gives a row's size; their sum is bounded as well.
     """
+    if bytes_of is not None and (df.agg(F.sum(bytes_of)).first()[0] or 0) > max_bytes:
+        return df
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 

@@ -10,7 +10,10 @@ words where none may differ (a test enumerates all cases). So no overlap that th
 check accepts is missed; only masks that the benchmark's lengths need are placed
 on the documents. Seeds of all documents
 are joined with the benchmark's seeds; every hit fixes an alignment of document
-and item, along which the words themselves are compared.
+and item, along which the words themselves are compared. Where none may differ,
+the seed is all of the item's words and travels with them, so the join itself
+compares them: nothing is joined back, and of an item's places in a document only
+the last leaves the task, however common its words are.
 
 A document is contaminated by an item if some alignment has WINDOW consecutive
 item words (or the whole item, if it has fewer) of which at most a fifth (2 of 13)
@@ -36,7 +39,7 @@ SUBSTITUTIONS = 2
 FUZZY_WORDS = 9
 #: the plain range comes first, since looking up the script of every letter is slow
 UNSPACED = r"[\x{E00}-\x{3FFFF}&&[%s]]" % "".join(r"\p{Is%s}" % x for x in "Han Hiragana Katakana Thai Lao Khmer Myanmar".split())
-MAX_BROADCAST_SEEDS = 5_000_000
+MAX_BROADCAST_SEEDS = 2_000_000         # rows of four numbers
 MAX_BROADCAST_HITS = 1_000_000
 
 
@@ -94,24 +97,54 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return long.unionByName(short).drop("n")
 
 
+def _verbatim(tagged: DataFrame, items: DataFrame) -> DataFrame:
+    """One row (as ``contaminated``) per document and item of under FUZZY_WORDS words that it holds; the last place counts."""
+    wanted = items.select("item_id", "n", F.concat_ws(" ", "item_words").alias("gram")).withColumn("seed", F.xxhash64("gram"))
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())      # FUZZY_WORDS - 1 at most
+
+    def grams(ws: Column) -> Column:
+        def of_length(n: int) -> Column:
+            places = F.transform(F.sequence(F.lit(0), F.size(ws) - F.lit(n)), lambda i: F.struct(
+                i.alias("doc_at"), F.concat_ws(" ", F.slice(ws, i + F.lit(1), F.lit(n))).alias("gram")))
+            return F.when(F.size(ws) >= n, places).otherwise(F.array().cast("array<struct<doc_at:int,gram:string>>"))
+        return F.concat(*[of_length(n) for n in lengths])
+
+    held = tagged.select("doc_id", "th", F.explode(let(F.col("words"), grams)).alias("g")).select("doc_id", "th", "g.*")
+    held = held.withColumn("seed", F.xxhash64("gram"))
+    return (held.join(bounded_broadcast(wanted, MAX_BROADCAST_HITS, F.octet_length("gram") + F.lit(32)), ["seed", "gram"])
+            .groupBy("doc_id", F.col("th").alias("text_hash"), "item_id").agg(F.max("doc_at").alias("doc_at"), F.max("n").alias("n"))
+            .select("doc_id", "text_hash", "item_id", F.col("n").alias("equal_words"), F.col("n").alias("window_words"), "doc_at",
+                    F.lit(0).alias("item_at")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that overlap: doc_id, text_hash, item_id, and equal_words, window_words,
     doc_at, item_at (word positions) of their best window."""
-    items = stage(benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("item_words"))
-                  .where(F.size("item_words") > 0))
-    item_seeds = stage(_item_seeds(items))
-    masks = sorted(r["mask"] for r in item_seeds.select("mask").distinct().collect()) or [0]     # at most len(ALL_MASKS)
+    given = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text)).alias("item_words"))
+    items = stage(given.withColumn("n", F.size("item_words")).where("n > 0"))
+    fuzzy, exact = items.where(F.col("n") >= FUZZY_WORDS).drop("n"), items.where(F.col("n") < FUZZY_WORDS)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     # the text's hash tells rows with one id apart; hits are few, so their words are made again from the text
     tagged = rows.select("doc_id", F.xxhash64("t").alias("th"), words_of(F.col("t")).alias("words"))
+    if not exact.isEmpty():
+        verbatim = _verbatim(tagged, exact)
+        return verbatim if fuzzy.isEmpty() else _aligned(tagged, fuzzy).unionByName(verbatim)
+    return _aligned(tagged, fuzzy)
+
+
+def _aligned(tagged: DataFrame, items: DataFrame) -> DataFrame:
+    """One row (as ``contaminated``) per document and item of FUZZY_WORDS words or more that overlap."""
+    item_seeds = stage(_item_seeds(items))
+    masks = sorted(r["mask"] for r in item_seeds.select("mask").distinct().collect()) or [0]     # at most len(ALL_MASKS)
     hits = stage(_seed_rows(tagged, "words", ["doc_id", "th"], "doc", masks).drop("mask")
                  .join(bounded_broadcast(item_seeds.drop("mask"), MAX_BROADCAST_SEEDS), "seed")
                  .select("doc_id", "th", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct())
     shifts = hits.select(F.col("doc_id").alias("h_id"), F.col("th").alias("h_th"), "item_id", "shift")
     pairs = tagged.join(bounded_broadcast(shifts, MAX_BROADCAST_HITS),
                         F.col("doc_id").eqNullSafe(F.col("h_id")) & F.col("th").eqNullSafe(F.col("h_th")))
-    at_item = pairs.join(bounded_broadcast(items, MAX_BROADCAST_HITS), "item_id")
+    item_bytes = F.octet_length(F.concat_ws(" ", "item_words")) + F.lit(16) * F.size("item_words")
+    at_item = pairs.join(bounded_broadcast(items, MAX_BROADCAST_HITS, item_bytes), "item_id")
     n = F.least(F.size("item_words"), F.lit(WINDOW))
     # 1 where the document has the item's word along the alignment; 0 elsewhere and outside the document
     along = let(F.col("words"), lambda ws: F.transform("item_words", lambda w, j: F.when(
@@ -122,7 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         (-s).alias("back")))))
     best = (at_item.withColumn("n", n).withColumn("same", along)
             .withColumn("best", windows)
-            .where((F.col("n") - F.col("best.equal_words")) * 5 <= F.when(F.col("n") >= FUZZY_WORDS, F.col("n")).otherwise(0)))
+            .where((F.col("n") - F.col("best.equal_words")) * 5 <= F.col("n")))
     found = best.select("doc_id", F.col("th").alias("text_hash"), "item_id", F.struct(
         "best.equal_words", (F.col("shift") - F.col("best.back")).alias("doc_at"), (-F.col("best.back")).alias("item_at"),
         F.col("n").alias("window_words")).alias("b"))

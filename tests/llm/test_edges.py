@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import line_dedup, mixing, ngram_join, packing, sharding, url_filter
+from cadenza.llm import decontaminate, line_dedup, mixing, ngram_join, packing, sharding, url_filter
 
 
 def test_near_duplicates_with_one_id_for_two_texts(spark):
@@ -80,3 +80,16 @@ def test_clashing_columns_of_lines_and_urls(spark):
     assert url_filter.judge_urls(pages, rules).first().asDict() == {
         "url": "http://a.net/x", "_keys": "k", "_block": "b", "host": "a.net", "path": "/x", "rule": "net/", "verdict": "block"}
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_common_one_word_items_move_one_row_per_document(spark):
+    """An item of one common word: one row per document, its last place, and no word list is joined back."""
+    docs = spark.createDataFrame([(i, "the cat and the dog " * 40 + "end") for i in range(30)] + [(30, "no such word"), (31, None)],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "The"), (2, "the dog"), (3, "dog end"), (4, "cat cat")], "item_id long, text string")
+    out = decontaminate.contaminated(docs, bench)
+    got = {(r["doc_id"], r["item_id"]): (r["doc_at"], r["equal_words"], r["window_words"], r["item_at"]) for r in out.collect()}
+    assert got == {(d, i): v for d in range(30) for i, v in [(1, (198, 1, 1, 0)), (2, (198, 2, 2, 0)), (3, (199, 2, 2, 0))]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == [30, 31]
