@@ -158,6 +158,30 @@ def test_line_dedup_recall(spark, monkeypatch, split, large, block):
     assert len(dropped) > 150 and got <= dropped and len(got) >= 0.97 * len(dropped)
 
 
+@pytest.mark.parametrize("split,large,block", [(line_dedup.SPLIT, line_dedup.LARGE, line_dedup.BLOCK), (8, 4, 3)])
+def test_line_dedup_loses_no_link(spark, monkeypatch, split, large, block):
+    """Long lines whose rarest words all differ, and many near copies: exactly the lines that brute force drops."""
+    monkeypatch.setattr(line_dedup, "SPLIT", split)
+    monkeypatch.setattr(line_dedup, "LARGE", large)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(21)
+    word = lambda: rng.choice(WORDS) + rng.choice(WORDS)
+    lines = []
+    for i in range(60):
+        w = [word() for _ in range(rng.randint(22, 60))] if i % 6 else [word() for _ in range(rng.randint(2, 12))]
+        hashes, _ = word_hashes([" ".join(w).encode()])
+        first = set(np.argsort(hashes)[:len(w) // 5].tolist())            # no word is common here, so hashes order them
+        lines += [w, [word() if k in first else x for k, x in enumerate(w)]]
+    known = {line_dedup.line_id(" ".join(x).encode()): x for x in lines}
+    want = groups_of(known, lambda a, b: line_dedup.edit_distance(known[a], known[b], 99) <= 0.2 * max(len(known[a]), len(known[b])) + 1e-9)
+    first = {}
+    for i, w in enumerate(lines):
+        first.setdefault(want[line_dedup.line_id(" ".join(w).encode())], i)
+    dropped = {i for i, w in enumerate(lines) if first[want[line_dedup.line_id(" ".join(w).encode())]] != i}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.repeated_lines(docs).collect() if r["n_dropped"]} == dropped and len(dropped) >= 50
+
+
 def test_simhash_equals_plain_sum():
     lines = [b"a b c d e " * 120, b"", b"x y z", b"x y"]
     tokens, at = word_hashes(lines)
