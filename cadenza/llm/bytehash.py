@@ -12,7 +12,7 @@ _powers: dict[int, tuple] = {}
 
 
 def _tables(n: int) -> tuple:
-    size = max(1 << 20, 1 << max(0, n - 1).bit_length())
+    size = max([1 << 20, 1 << max(0, n - 1).bit_length(), *_powers])        # larger ones serve shorter strings too
     if size not in _powers:
         _powers.clear()
         _powers[size] = tuple(
@@ -37,12 +37,30 @@ class Fingerprints:
         self.raw, self._sums, self._tables = raw, {}, _tables(len(raw))
 
     def of(self, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
-        if kind not in self._sums:
-            up = self._tables[kind][0][:len(self.raw)]
-            self._sums[kind] = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[kind][self.raw] * up, dtype=np.uint64)])
-        sums, down = self._sums[kind], self._tables[kind][1]
+        sums, down = self._prefix(kind), self._tables[kind][1]
         return scramble((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
+    def every(self, width: int) -> np.ndarray:
+        """``of`` all substrings of ``width`` bytes in order, kind 0."""
+        sums, down = self._prefix(0), self._tables[0][1]
+        x = sums[width:] - sums[:len(sums) - width]
+        x *= down[:len(x)]
+        x += np.uint64(width)
+        for _ in range(2):                           # ``scramble`` in place
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        return x
+
+    def _prefix(self, kind: int) -> np.ndarray:
+        if kind not in self._sums:
+            terms = _VALUES[kind][self.raw]
+            terms *= self._tables[kind][0][:len(terms)]
+            sums = np.zeros(len(terms) + 1, dtype=np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self._sums[kind] = sums
+        return self._sums[kind]
+
 
 def _window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every w consecutive values, by running minima of blocks of w."""
@@ -64,8 +82,8 @@ def anchors(prints: Fingerprints, span: int, core: int) -> np.ndarray:
     w = span - core + 1
     if n < w:
         return np.zeros(0, dtype=np.int64)
-    at = np.arange(n)
-    h = prints.of(at, at + core) & ~np.uint64((1 << _ORDINAL_BITS) - 1)
+    h = prints.every(core)
+    h &= ~np.uint64((1 << _ORDINAL_BITS) - 1)
     step, out = (1 << _ORDINAL_BITS) - w, []
     for a in range(0, n - w + 1, step):          # ordinals within a piece never wrap
         piece = h[a:a + step + w - 1]

@@ -295,16 +295,17 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (starts, ends in bytes).
 
-    The documents enter the family in ``batches`` batches dealt by their texts' digests.
+    The documents enter the family in ``batches`` batches dealt by a hash of their texts.
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", *text_ref(F.col("text")), "text")
     long_texts = docs.where(F.octet_length("text") >= LENGTH).select(*REF, "text")
+    texts = documents.select(text.alias("text")).where(F.octet_length("text") >= LENGTH)
     family = SuffixFamily(spark)
     for i in range(batches):
-        family.add(long_texts.where(F.pmod("ref_a", F.lit(batches)) == i).select("text"), last=i == batches - 1)
+        family.add(texts.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == i), last=i == batches - 1)
     spans = repeated_spans(long_texts, family).groupBy(*REF).agg(F.collect_set(F.struct("start", "end")).alias("s"))
     spans = spans.select(*REF, F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     spans = family.stages.keep(spans.mapInArrow(_united_rows, f"{_REF}, starts array<long>, ends array<long>"))

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cadenza.llm import periodic_runs, suffix_family, vector_codes
+from cadenza.llm import bytehash, periodic_runs, suffix_family, vector_codes
 
 
 # ------------------------------------------------------------------ op11
@@ -131,6 +131,14 @@ def test_suffix_family_matches_every_window(spark, batches):
     assert all(sum(e - s for s, e in zip(r.starts, r.ends)) == r.n_removed for r in got.values())
 
 
+def test_fingerprints_of_every_substring_and_kept_tables():
+    raw = np.frombuffer(random.Random(8).randbytes(5000), dtype=np.uint8)
+    prints, at = bytehash.Fingerprints(raw), np.arange(5000 - 63)
+    assert (prints.every(64) == prints.of(at, at + 64)).all()
+    large = bytehash._tables((1 << 20) + 1)
+    assert bytehash._tables(10) is large               # a short piece does not throw the large tables away
+
+
 def test_suffix_family_levels_and_empty_table(spark):
     family = suffix_family.SuffixFamily(spark)
     for i in range(5):
