@@ -34,6 +34,7 @@ from cadenza.session import ensure_checkpoint_dir
 BUCKET = "_scan_bucket"
 LOC = "_scan_loc"
 FLAG = "_scan_flag"
+HOT_ROWS = 1 << 18              # keys of more rows are split over several tasks
 
 
 def range_buckets(df: DataFrame, keys, order, name: str = BUCKET) -> DataFrame:
@@ -93,6 +94,26 @@ def mark_edges(df: DataFrame, keys, bucket: str, name: str) -> DataFrame:
             .drop("_e_b", "_e_yes", *[f"_e_{k}" for k in keys]))
 
 
+def split_hot_keys(df: DataFrame, keys, order, name: str, edge: str) -> DataFrame:
+    """Add ``name`` and ``edge`` as ``range_buckets`` and ``mark_edges`` do, with ranges for the keys of over HOT_ROWS rows alone.
+
+    All rows of the other keys have bucket -1, which costs no shuffle of the rows,
+    only a count per key; a window group is still never larger than HOT_ROWS or
+    one range. There are at most rows / HOT_ROWS hot keys. ``df`` should be cheap
+    to read again (a written table).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = list(keys)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_h_n")).filter(F.col("_h_n") > HOT_ROWS)
+           .select(*[F.col(k).alias(f"_h_{k}") for k in keys]).checkpoint(eager=True))
+    rest = {name: F.lit(-1), edge: F.lit(False)}
+    if hot.isEmpty():
+        return df.withColumns(rest)
+    on = _eq(keys, "_h_")
+    ranges = mark_edges(range_buckets(df.join(F.broadcast(hot), on, "left_semi"), keys, order, name), keys, name, edge)
+    return df.join(F.broadcast(hot), on, "left_anti").withColumns(rest).unionByName(ranges)
+
+
 def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
                   out: str = "earlier", inclusive: bool = False, bucket: str | None = None,
                   edges: DataFrame | str | None = None) -> DataFrame:

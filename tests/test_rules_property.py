@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from cadenza.operators import rules
+from cadenza.operators import rules, scan
 
 AS_OF = dt.date(2024, 6, 1)
 MIDNIGHT = dt.datetime(2024, 6, 1)
@@ -119,6 +119,42 @@ def test_rental_admission_row_null_student_and_empty_batch(spark):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("seed", [4, 15])
+def test_rental_admission_row_splits_keys_of_many_rows(spark, monkeypatch, seed):
+    monkeypatch.setattr(scan, "HOT_ROWS", 9)
+    rnd = random.Random(seed)
+    rows, stock, existing, inst, ex, batch = _frames(spark, rnd, 80)
+    got = rules.rental_admission_row(batch, inst, ["seq"], existing=ex, as_of=AS_OF, limit=2, max_months=12)
+    assert {r.seq: r.reason for r in got.collect()} == _sequential_admission(rows, stock, existing, 2, 12)
+
+
+def test_rental_admission_row_reads_the_reasons_from_ends(spark):
+    """No running count over all rows is left: one join a side, and one shuffle of the rows for both parts of the result."""
+    rows, stock, existing, inst, ex, batch = _frames(spark, random.Random(4), 80)
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        got = rules.rental_admission_row(batch, inst, ["seq"], existing=ex, as_of=AS_OF, limit=2, max_months=12)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert {r.seq: r.reason for r in got.collect()} == _sequential_admission(rows, stock, existing, 2, 12)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "Window" not in plan and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("spare", [0, 1])
+def test_rental_admission_row_of_an_instrument_with_as_much_stock_as_rows(spark, spare):
+    """A late row of a fully rented instrument is out of stock, not too long; a student's inactive rows count on the instrument."""
+    start = dt.datetime(2023, 1, 1)
+    rows = [(0, 1, 1, start, _plus_months(start, 6)), (1, 2, 1, start, _plus_months(start, 6)), (2, 3, 1, start, _plus_months(start, 20))]
+    inst = spark.createDataFrame([(1, 2 + spare)], "instrument_id int, available_stock int")
+    got = rules.rental_admission_row(spark.createDataFrame(rows, SCHEMA), inst, ["seq"], as_of=AS_OF, limit=1)
+    assert {r.seq: r.reason for r in got.collect()} == {0: None, 1: None, 2: "duration" if spare else "out_of_stock"}
+
+
 def _chain(n):
     """Row k shares its student with row k-1 or its instrument, in turn: each waits for the one before."""
     start, expiry = dt.datetime(2024, 1, 1), dt.datetime(2024, 7, 1)
