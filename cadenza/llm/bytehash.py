@@ -12,7 +12,7 @@ _powers: dict[int, tuple] = {}
 
 
 def _tables(n: int) -> tuple:
-    size = max([1 << 20, 1 << max(0, n - 1).bit_length(), *_powers])        # larger ones serve shorter strings too
+    size = max([1 << 19, 1 << max(0, n - 1).bit_length(), *_powers])        # larger ones serve shorter strings too
     if size not in _powers:
         _powers.clear()
         _powers[size] = tuple(

@@ -51,7 +51,8 @@ from cadenza.staging import Stages
 LENGTH, CORE, BLOCK = 200, 64, 8
 SIDE = BLOCK - 1                # bytes on either side of a block's common middle
 BATCHES = 4
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 500_000           # a piece's arrays take about 100 times that; its power tables those of 1 << 19 bytes
+BATCH_ROWS = 1000               # rows of an Arrow batch that are Python objects at a time
 MAX_BROADCAST_BYTES = 8 << 20
 REF = ["ref_a", "ref_b"]
 _REF = "ref_a long, ref_b long"
@@ -83,9 +84,10 @@ def _joined(rows: list, texts_at: int) -> tuple[list, np.ndarray, np.ndarray]:
 
 def _arrow_rows(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple]:
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        columns[text] = [(t or "").encode("utf-8", "replace") for t in columns[text]]
-        yield from zip(*columns)
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            columns = [c.to_pylist() for c in batch.slice(at, BATCH_ROWS).columns]
+            columns[text] = [(t or "").encode("utf-8", "replace") for t in columns[text]]
+            yield from zip(*columns)
 
 
 def _sampled(raw: np.ndarray, offsets: np.ndarray) -> tuple[Fingerprints, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

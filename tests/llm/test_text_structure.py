@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cadenza.llm import bytehash, periodic_runs, suffix_family, vector_codes
@@ -213,3 +214,21 @@ def test_periodic_runs_of_many_words():
     assert any(q == 700 and e - s >= 3500 for s, e, q in found)
     symbol, place, left, whole, rest = periodic_runs.repair(ids, np.zeros(len(w), dtype=np.int64))
     assert len(rest) < 4200 and (left < whole).all()          # 3,000 + 700 words and a logarithm of the rest
+
+
+def test_suffix_pieces_stay_small(monkeypatch):
+    """3 MB of texts in one Arrow batch: pieces and power tables stay within 1 << 19 bytes, with the rows of one large piece."""
+    rnd = np.random.default_rng(3)
+    texts = ["".join(chr(97 + c) for c in rnd.integers(0, 26, 1000)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+
+    def rows():
+        monkeypatch.setattr(bytehash, "_powers", {})
+        return sorted(r for b in suffix_family._suffix_rows(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns)))
+
+    pieces = [raw for _rows, raw, _at in suffix_family._pieces(suffix_family._arrow_rows(iter([batch]), 0), 0)]
+    assert max(map(len, pieces)) <= 1 << 19 and sum(map(len, pieces)) == 3_000_000
+    small = rows()
+    assert max(bytehash._powers) <= 1 << 19
+    monkeypatch.setattr(suffix_family, "BATCH_BYTES", 1 << 23)
+    assert rows() == small
