@@ -9,7 +9,7 @@ statement has already done to earlier rows: each of them took an active rental
 from its old student and gave one to its new student, so the count a row sees is
 a running sum of signed events.
 
-Both count over pinned range layouts (``operators.scan``), so a student or an
+Both count over pinned layouts (``operators.scan``), so a student or an
 instrument with a large share of the rows is spread over many tasks.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import to_date
 from cadenza.operators import rules
-from cadenza.operators.scan import earlier_counts, mark_edges, range_buckets
+from cadenza.operators.scan import earlier_counts, split_hot_keys
 from cadenza.staging import Stages
 
 log = logging.getLogger(__name__)
@@ -48,8 +48,8 @@ def admit_statements(batch: DataFrame, instrument: DataFrame, order: list, state
     statement's earlier rows, or breaks the duration rule; it is accepted once
     each of its rows has room even if every open statement before it went in.
     The earliest open statement settles in every round. A round writes the open
-    rows (keys, order, counts) and one verdict per statement and deletes what the
-    round before wrote; only the number of open statements reaches the driver.
+    rows (keys, statement, counts) and one verdict per statement and deletes what
+    the round before wrote; only the number of open statements reaches the driver.
 
     Returns one row per statement: n_rows, accepted, and for a rejected one the
     reason and order key of the first row that fails in the sequential run. Rows
@@ -60,20 +60,22 @@ def admit_statements(batch: DataFrame, instrument: DataFrame, order: list, state
     limit, max_months = rules._setting(limit, rules.CONFIG_MAX_ACTIVE), rules._setting(max_months, rules.CONFIG_MAX_MONTHS)
     sequence = [statement] + [c for c in order if c != statement]
     stages = Stages(batch.sparkSession, "statements")
-    rows = rules.admission_rows(batch, sequence, instrument, existing, day, limit, max_months)
-    rows = range_buckets(rows, ["student_id"], sequence, "_b_student")
-    rows = range_buckets(rows, ["instrument_id"], sequence, "_b_instrument")
-    rows = stages.keep(mark_edges(mark_edges(rows, ["student_id"], "_b_student", "_e_student"),
-                                  ["instrument_id"], "_b_instrument", "_e_instrument"))
+    kept = stages.keep(rules.admission_rows(batch, sequence, instrument, existing, day, limit, max_months))
+    rows = split_hot_keys(split_hot_keys(kept, ["student_id"], sequence, "_b_student", "_e_student"),
+                          ["instrument_id"], sequence, "_b_instrument", "_e_instrument")
     # a layout by (student, statement, ...) is one of (student, statement) too: the statement's own earlier rows
     own = stages.keep(earlier_counts(rows, ["student_id", statement], sequence, {"_own_active": F.col("_is_active")}, bucket="_b_student"))
-    stages.drop(rows)
+    stages.drop(kept)
     rows = stages.keep(earlier_counts(own, ["instrument_id", statement], sequence, {"_own_rows": F.lit(True)}, bucket="_b_instrument"))
     stages.drop(own)
-    by_student = {"keys": ["student_id"], "order": sequence, "bucket": "_b_student", "edges": "_e_student"}
-    by_instrument = {"keys": ["instrument_id"], "order": sequence, "bucket": "_b_instrument", "edges": "_e_instrument"}
-
-    work, last, verdicts, rnd = rows.withColumn("_new", F.lit(False)), None, [], 0
+    # those counts order a statement's rows as far as a side counts them (an inactive row comes before the active one of its
+    # number), so the rounds do without the order columns
+    by_student = {"keys": ["student_id"], "order": [statement, "_own_active", "_is_active"], "bucket": "_b_student", "edges": "_e_student"}
+    by_instrument = {"keys": ["instrument_id"], "order": [statement, "_own_rows"], "bucket": "_b_instrument", "edges": "_e_instrument"}
+
+    needed = dict.fromkeys(["student_id", "instrument_id", statement])
+    work = rows.select(*[c for c in rows.columns if c in needed or c not in order]).withColumn("_new", F.lit(False))
+    last, verdicts, rnd = None, [], 0
     is_new, active = F.col("_new"), F.col("_is_active")
     while True:
         rnd += 1

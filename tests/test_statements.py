@@ -7,8 +7,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import audit, denorm, integrity, rules, statements
+from cadenza.operators import audit, denorm, integrity, rules, scan, statements
 from cadenza.sources.schemas import DOMAIN_FOREIGN_KEYS, DOMAIN_RULES, SCHEMAS, columns_of
+from cadenza.staging import Stages
 from tests.test_rules_property import AS_OF, MIDNIGHT, SCHEMA, _existing_active, _frames, _plus_months
 
 
@@ -22,6 +23,30 @@ def _judge(active, left, student, instrument, start, expiry, limit, months):
 
 @pytest.mark.parametrize("seed,size", [(41, 3), (42, 2), (43, 6)])
 def test_statements_in_sequence_match_a_sequential_run(spark, seed, size):
+    _statements_match(spark, seed, size)
+
+
+@pytest.mark.parametrize("seed,size", [(41, 3), (43, 6)])
+def test_statements_in_sequence_split_keys_of_many_rows(spark, monkeypatch, seed, size):
+    monkeypatch.setattr(scan, "HOT_ROWS", 9)
+    _statements_match(spark, seed, size)
+
+
+def test_rounds_of_statements_carry_no_order_columns(spark, monkeypatch):
+    """Beside the key columns the tables of the rounds hold counts alone."""
+    written, keep = [], Stages.keep
+
+    def noted(self, df):
+        written.append(set(df.columns))
+        return keep(self, df)
+
+    monkeypatch.setattr(Stages, "keep", noted)
+    _statements_match(spark, 42, 2)
+    rounds = [c for c in written if {"_fails", "_sure"} <= c]
+    assert rounds and not any("seq" in c for c in rounds)
+
+
+def _statements_match(spark, seed, size):
     rnd = random.Random(seed)
     rows, stock, existing, inst, ex, _b = _frames(spark, rnd, 120)
     stock = {i: n + 6 for i, n in stock.items()}
