@@ -182,6 +182,40 @@ def test_line_dedup_loses_no_link(spark, monkeypatch, split, large, block):
     assert {r["doc_id"] for r in line_dedup.repeated_lines(docs).collect() if r["n_dropped"]} == dropped and len(dropped) >= 50
 
 
+def test_similar_lines_share_a_cell_of_word_pairs():
+    """Every pair at edit similarity 0.8 meets in a cell, whatever the counts; few more word pairs are taken than edits need."""
+    rng, letters = random.Random(8), "abcdefghijklmnop"
+    linked = 0
+    for _ in range(60):
+        lines = [[rng.choice(letters) * rng.randint(1, 3) for _ in range(rng.randint(4, 60))]]
+        for _ in range(30):
+            w = list(lines[0])
+            for _ in range(rng.randint(1, max(1, len(w) // 4))):
+                at = rng.randrange(len(w))
+                w[at:at + 1] = rng.choice([[rng.choice(letters)], [], [w[at], rng.choice(letters)]]) if len(w) > 4 else [rng.choice(letters)]
+            lines.append(w)
+        h, at = word_hashes([" ".join(x).encode() for x in lines])
+        cells = line_dedup.word_pairs(h, at, np.array([rng.randint(0, 99) for _ in range(1 << 8)] * (1 << line_dedup.BUCKET_BITS - 8))).to_pylist()
+        for w, own in zip(lines, cells):
+            assert len(own) <= 2 * int(line_dedup.edits(np.array([len(w)]))[0]) + 1
+            most = line_dedup.differing(np.array([max(len(w), len(lines[0]))]))[0]
+            if w != lines[0] and line_dedup.edit_distance(w, lines[0], 99) <= most:
+                linked += 1
+                assert set(own) & set(cells[0])
+    assert linked > 500
+
+
+def test_cells_of_one_line_go_no_further(spark):
+    """Only cells of several lines leave the shuffle, a repeated line counts once, and of two lines one row goes on."""
+    signed = spark.createDataFrame([(1, [10, 11]), (2, [10, 12]), (3, [13]), (3, [13]), (4, [14]), (5, [14]), (6, [14]), (7, None)],
+                                   "line_id long, cells array<int>")
+    for size in ("10000", "1"):                                   # also where every row is an Arrow batch of its own
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        rows = sorted(map(tuple, line_dedup.shared_cells(signed).collect()))
+        assert rows == [(10, 2, 1, False), (14, 5, 4, True), (14, 6, 4, True)]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_simhash_equals_plain_sum():
     lines = [b"a b c d e " * 120, b"", b"x y z", b"x y"]
     tokens, at = word_hashes(lines)
