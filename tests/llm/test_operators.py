@@ -216,6 +216,65 @@ def test_cells_of_one_line_go_no_further(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_lengths_rule_pairs_out_before_they_leave_the_cells(spark):
+    """Of a common cell only lines whose lengths allow a link go on, and many tells others that fit, not any others."""
+    signed = spark.createDataFrame([(1, [7], 10), (2, [7], 11), (3, [7], 50), (4, [7], 200), (5, [7], 210), (6, [8], 3), (7, [8], 30)],
+                                   "line_id long, cells array<int>, n_words int")
+    rows = sorted(map(tuple, line_dedup.shared_cells(signed).collect()))
+    assert rows == [(7, 2, 1, False), (7, 4, None, True), (7, 5, None, True)]
+
+
+def test_one_pair_a_group_leaves_a_cell_first(spark):
+    """A hundred lines of one group beside two others: not a pair for each line, but each group's nearest; rows with candidates go on."""
+    near = [(1, 1, 0, 9, 100 + i, 40, 0b11 << i % 5, 0, 0, 0) for i in range(100)]
+    rows = [*near, (1, 1, 0, 7, 7, 40, 0b1, 0, 0, 0), (1, 1, 0, 8, 8, 40, -1, -1, -1, -1)]
+    dealt = spark.createDataFrame(rows, "cell long, part long, side int, g long, line_id long, n_words int, p0 long, p1 long, p2 long, p3 long")
+    got = line_dedup.nearest_pairs(dealt).collect()
+    left = {r["line_id"] for r in got if r["other"] is None}
+    pairs = [(r["line_id"], r["other"]) for r in got if r["other"] is not None]
+    assert left == {7, *range(100, 200)} and len(pairs) == 2
+    assert all(7 in p and (sum(p) - 107) % 5 == 0 for p in pairs)
+
+
+def test_wide_sketches_bound_the_words_that_differ():
+    rng = random.Random(5)
+    lines = [[f"w{rng.randint(0, 60)}" for _ in range(n)] for n in (1, 8, 9, 60, 64, 70, 80, 300, 370)]
+    rows = [len(line_dedup.numbered(*word_hashes([" ".join(x).encode()]))) for x in lines]
+    assert rows == [len(x) for x in lines]
+    tokens = [set(line_dedup.numbered(*word_hashes([" ".join(x).encode()])).tolist()) for x in lines]
+    n = np.array(rows)
+    wide = []
+    for own, bits in zip(tokens, line_dedup.wide_bits(n).tolist()):
+        odd = np.bincount([t & bits - 1 for t in own], minlength=bits) & 1
+        wide.append(np.packbits(odd, bitorder="little").tobytes())
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(len(n)) for b in range(len(n)) if n[a] <= n[b] <= 1.25 * n[a]]))
+    got = line_dedup.wide_differing(wide, n, i, j)
+    for a, b, differ in zip(i, j, got):
+        size = int(line_dedup.wide_bits(n[a]))
+        classes = np.bincount([t & size - 1 for t in tokens[a] ^ tokens[b]], minlength=size) & 1
+        assert differ == classes.sum() <= len(tokens[a] ^ tokens[b])
+
+
+def test_lines_of_batches_are_those_of_each_text(monkeypatch):
+    monkeypatch.setattr(line_dedup, "BATCH_BYTES", 40)
+    rng = random.Random(2)
+    texts = [None, "", "\n", "Ab 12\n\n c-d", "\u03a3\u0391\u03a3. \u0130x\u2028y\n\u00e9\u2014z", *["".join(rng.choice("aB1 \n\t\u00c9\u2026\u4e2d\U0001f600") for _ in range(rng.randint(0, 120))) for _ in range(60)]]
+    got = {}
+    for pieces, lines in line_dedup.line_batches(texts):
+        lines = lines.split(b"\n")
+        assert len(lines) == sum(many for _, _, many in pieces)
+        at = 0
+        for text, first, many in pieces:
+            got |= {(text, first + k): b" ".join(lines[at + k].split()) for k in range(many)}
+            at += many
+    want = {}
+    for i, text in enumerate(texts):
+        want |= {(i, k): line_dedup.normalised_lines(x)[0] for k, x in enumerate((text or "").split("\n")) if text is not None}
+    assert got == want
+    ids = {line_dedup.line_id(x) for x in set(got.values())}
+    assert len(ids) == len(set(got.values()))
+
+
 def test_simhash_equals_plain_sum():
     lines = [b"a b c d e " * 120, b"", b"x y z", b"x y"]
     tokens, at = word_hashes(lines)
