@@ -35,6 +35,7 @@ BUCKET = "_scan_bucket"
 LOC = "_scan_loc"
 FLAG = "_scan_flag"
 HOT_ROWS = 1 << 18              # keys of more rows are split over several tasks
+HOT_SLOTS = 1 << 14             # keys are counted by hash first, in so many slots
 
 
 def range_buckets(df: DataFrame, keys, order, name: str = BUCKET) -> DataFrame:
@@ -49,7 +50,8 @@ def range_buckets(df: DataFrame, keys, order, name: str = BUCKET) -> DataFrame:
     return df.repartitionByRange(*sort_cols).withColumn(name, F.spark_partition_id()).checkpoint(eager=True)
 
 
-def _eq(keys: list[str], prefix: str) -> Column:
+def same_keys(keys: list[str], prefix: str) -> Column:
+    """Whether ``keys`` equal the columns of their names after ``prefix``; nulls are equal."""
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
 
@@ -89,27 +91,43 @@ def mark_edges(df: DataFrame, keys, bucket: str, name: str) -> DataFrame:
     """Add ``name``: whether the row's key is an edge key of its bucket, for counts that reuse the layout."""
     keys = list(keys)
     edges = bucket_edges(df, keys, bucket).withColumn("_e_yes", F.lit(True))
-    return (df.join(F.broadcast(edges), (F.col(bucket) == F.col("_e_b")) & _eq(keys, "_e_"), "left")
+    return (df.join(F.broadcast(edges), (F.col(bucket) == F.col("_e_b")) & same_keys(keys, "_e_"), "left")
             .withColumn(name, F.coalesce("_e_yes", F.lit(False)))
             .drop("_e_b", "_e_yes", *[f"_e_{k}" for k in keys]))
 
 
+def hot_keys(df: DataFrame, keys) -> DataFrame | None:
+    """The ``keys`` (named ``_h_`` and their name) of over HOT_ROWS rows, as a checkpointed table; None if there are none.
+
+    Rows are counted by a hash of their key first: a slot holds all rows of its
+    keys, so only keys of slots of over HOT_ROWS rows are counted themselves, and
+    a task sends at most HOT_SLOTS counts. There are at most rows / HOT_ROWS hot keys.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = list(keys)
+    slot = F.pmod(F.xxhash64(*keys), F.lit(HOT_SLOTS))
+    slots = df.groupBy(slot.alias("_h_slot")).agg(F.count(F.lit(1)).alias("_h_n")).filter(F.col("_h_n") > HOT_ROWS)
+    full = [r["_h_slot"] for r in slots.collect()]
+    if not full:
+        return None
+    hot = (df.filter(slot.isin(full)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_h_n")).filter(F.col("_h_n") > HOT_ROWS)
+           .select(*[F.col(k).alias(f"_h_{k}") for k in keys]).checkpoint(eager=True))
+    return None if hot.isEmpty() else hot
+
+
 def split_hot_keys(df: DataFrame, keys, order, name: str, edge: str) -> DataFrame:
     """Add ``name`` and ``edge`` as ``range_buckets`` and ``mark_edges`` do, with ranges for the keys of over HOT_ROWS rows alone.
 
     All rows of the other keys have bucket -1, which costs no shuffle of the rows,
-    only a count per key; a window group is still never larger than HOT_ROWS or
-    one range. There are at most rows / HOT_ROWS hot keys. ``df`` should be cheap
-    to read again (a written table).
+    only their count (``hot_keys``); a window group is still never larger than
+    HOT_ROWS or one range. ``df`` should be cheap to read again (a written table).
     """
-    ensure_checkpoint_dir(df.sparkSession)
     keys = list(keys)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_h_n")).filter(F.col("_h_n") > HOT_ROWS)
-           .select(*[F.col(k).alias(f"_h_{k}") for k in keys]).checkpoint(eager=True))
     rest = {name: F.lit(-1), edge: F.lit(False)}
-    if hot.isEmpty():
+    hot = hot_keys(df, keys)
+    if hot is None:
         return df.withColumns(rest)
-    on = _eq(keys, "_h_")
+    on = same_keys(keys, "_h_")
     ranges = mark_edges(range_buckets(df.join(F.broadcast(hot), on, "left_semi"), keys, order, name), keys, name, edge)
     return df.join(F.broadcast(hot), on, "left_anti").withColumns(rest).unionByName(ranges)
 
@@ -130,13 +148,18 @@ def earlier_count(df: DataFrame, keys, order, flag: Column | str | None = None,
 
 
 def earlier_counts(df: DataFrame, keys, order, flags: dict[str, Column | str], inclusive: bool = False,
-                   bucket: str | None = None, edges: DataFrame | str | None = None) -> DataFrame:
+                   bucket: str | None = None, edges: DataFrame | str | bool | None = None) -> DataFrame:
     """``earlier_count`` of several flags in one pass: ``flags`` maps each new column to what it counts.
 
     A whole number in place of a flag is summed, so signed events can be counted up and down.
-    ``edges`` may also name a boolean column that marks the rows of edge keys (``mark_edges``).
+    ``edges`` may also name a boolean column that marks the rows of edge keys (``mark_edges``), or
+    be False where no key has over HOT_ROWS rows (``hot_keys``): one window, no ranges.
     """
     keys, order = list(keys), list(order)
+    if edges is False:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        return df.withColumns({out: F.coalesce(F.sum(F.coalesce((F.col(f) if isinstance(f, str) else f).cast("long"), F.lit(0))).over(w),
+                                               F.lit(0)) for out, f in flags.items()})
     added = []
     if not keys:
         df = df.withColumn("_scan_key", F.lit(0))
@@ -160,7 +183,7 @@ def earlier_counts(df: DataFrame, keys, order, flags: dict[str, Column | str], i
 
     # 3. per-bucket totals of the edge keys, then the offset of each spanning key's first run
     edge_rows = (d.filter(edges) if isinstance(edges, str) else
-                 d.join(F.broadcast(edges), (F.col(bucket) == F.col("_e_b")) & _eq(keys, "_e_"), "left_semi"))
+                 d.join(F.broadcast(edges), (F.col(bucket) == F.col("_e_b")) & same_keys(keys, "_e_"), "left_semi"))
     tot = (edge_rows.groupBy(bucket, *keys).agg(*[F.sum(f"{FLAG}_{i}").alias(f"_tot_{i}") for i in n]))
     w2 = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (tot.withColumns({f"_off_{i}": F.coalesce(F.sum(f"_tot_{i}").over(w2), F.lit(0)) for i in n})
@@ -170,7 +193,7 @@ def earlier_counts(df: DataFrame, keys, order, flags: dict[str, Column | str], i
 
     total = {out: F.col(f"{LOC}_{i}") + F.coalesce(F.col(f"_off_{i}"), F.lit(0))
              + (F.col(f"{FLAG}_{i}") if inclusive else F.lit(0)) for i, out in enumerate(outs)}
-    return (main.join(F.broadcast(offsets), (F.col(bucket) == F.col("_o_b")) & _eq(keys, "_o_"), "left")
+    return (main.join(F.broadcast(offsets), (F.col(bucket) == F.col("_o_b")) & same_keys(keys, "_o_"), "left")
             .withColumns(total)
             .drop("_o_b", *[f"_o_{c}" for c in keys], *added,
                   *[f"{p}_{i}" for p in (LOC, FLAG, "_off") for i in n]))

@@ -46,6 +46,75 @@ def test_rounds_of_statements_carry_no_order_columns(spark, monkeypatch):
     assert rounds and not any("seq" in c for c in rounds)
 
 
+@pytest.mark.parametrize("seed,size,hot", [(41, 3, 1 << 18), (42, 2, 9), (43, 6, 4)])
+def test_statements_in_sequence_by_rounds_alone(spark, monkeypatch, seed, size, hot):
+    """Without the last step in order; keys of over 9 rows split, and statements of over 4."""
+    monkeypatch.setattr(statements, "TAIL_ROWS", 0)
+    monkeypatch.setattr(scan, "HOT_ROWS", hot)
+    _statements_match(spark, seed, size)
+
+
+def _rounds(monkeypatch):
+    """The tables of the rounds, as number of rows, noted as they are written."""
+    written, keep = [], Stages.keep
+
+    def noted(self, df):
+        out = keep(self, df)
+        if {"_fails", "_sure"} <= set(df.columns):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Stages, "keep", noted)
+    return written
+
+
+def _rentals_of(spark, rows):
+    """(stmt, seq, student, instrument) as rentals that pass the duration rule and are active."""
+    return spark.createDataFrame([(seq, stu, ins, dt.datetime(2024, 1, 1), dt.datetime(2024, 9, 1), stmt) for stmt, seq, stu, ins in rows],
+                                 SCHEMA + ", stmt int")
+
+
+def test_a_chain_of_statements_takes_few_rounds(spark, monkeypatch):
+    """Statement k rents instruments k and k + 1, of which there is one each, so each waits for the one before it."""
+    rounds, n = _rounds(monkeypatch), 14
+    batch = _rentals_of(spark, [(k, 2 * k + d, k, k + d) for k in range(n) for d in (0, 1)])
+    inst = spark.createDataFrame([(k, 1) for k in range(n + 1)], "instrument_id int, available_stock int")
+    got = statements.admit_statements(batch, inst, ["seq"], "stmt", as_of=AS_OF)
+    assert {r.stmt: r.accepted for r in got.collect()} == {k: k % 2 == 0 for k in range(n)}
+    assert len(rounds) <= 3
+
+
+def test_rounds_hold_claims_on_short_keys_alone(spark, monkeypatch):
+    """One row per statement and student of too many active rentals; instruments with stock for all leave at once."""
+    rounds = _rounds(monkeypatch)
+    batch = _rentals_of(spark, [(k, 5 * k + d, k % 2, d) for k in range(12) for d in range(5)])
+    inst = spark.createDataFrame([(k, 1000) for k in range(5)], "instrument_id int, available_stock int")
+    got = statements.admit_statements(batch, inst, ["seq"], "stmt", as_of=AS_OF, limit=12)
+    assert {r.stmt: (r.accepted, r.reason, r.failed_seq) for r in got.collect()} == {
+        k: (True, None, None) if k < 4 else (False, "active_rentals", 5 * k + 2) for k in range(12)}
+    assert rounds[0] == 12 and sum(rounds) <= 24
+
+
+def test_statements_of_repeated_instruments_and_order_keys(spark):
+    """Every row of an instrument judges the rentals; of rows that share an order key the first reason by name counts."""
+    inst = spark.createDataFrame([(1, 5), (1, 5), (2, 9)], "instrument_id int, available_stock int")
+    got = statements.admit_statements(_rentals_of(spark, [(k, k, k, 1) for k in range(4)]), inst, ["seq"], "stmt", as_of=AS_OF)
+    assert {r.stmt: (r.n_rows, r.reason) for r in got.collect()} == {0: (2, None), 1: (2, None), 2: (2, "out_of_stock"), 3: (2, "out_of_stock")}
+    late = _rentals_of(spark, [(0, 1, 2, 2)]).withColumn("lease_expiry_time", F.col("lease_expiry_time") + F.expr("make_ym_interval(5)"))
+    got = statements.admit_statements(_rentals_of(spark, [(0, 1, 1, 7)]).unionByName(late), inst.distinct(), ["seq"], "stmt", as_of=AS_OF)
+    assert [tuple(r) for r in got.collect()] == [(0, 2, False, "duration", 1)]
+
+
+@pytest.mark.parametrize("slots", [1, 16])
+def test_hot_keys_are_those_of_too_many_rows(spark, monkeypatch, slots):
+    monkeypatch.setattr(scan, "HOT_ROWS", 9)
+    monkeypatch.setattr(scan, "HOT_SLOTS", slots)
+    rows = [(k, None if k % 5 else 1) for k in (0, 1, 2, 2, 2) for _ in range(4)] + [(None, 1)] * 10
+    df = spark.createDataFrame(rows, "a int, b int")
+    assert sorted(map(str, scan.hot_keys(df, ["a", "b"]).collect())) == ["Row(_h_a=2, _h_b=None)", "Row(_h_a=None, _h_b=1)"]
+    assert scan.hot_keys(df.filter("a < 2"), ["a", "b"]) is None
+
+
 def _statements_match(spark, seed, size):
     rnd = random.Random(seed)
     rows, stock, existing, inst, ex, _b = _frames(spark, rnd, 120)
